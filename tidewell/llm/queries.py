@@ -6,24 +6,77 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import packing, token_counts
+from tidewell.llm import chat, decontaminate, kneser_ney, packing, quality, token_counts, toxicity, transport_stream, warc
 from tidewell.llm._util import read
 
 
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.write_archives(read(spark, sf_dir, "pages"), warc.archive_folder(spark), min_revisit=0)
+    return warc.scan(directory, payloads=False).drop("payload", "url")
+
+
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.parsed(chat.best_conversations(chat.chained(rows))))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.default_vocabulary(), limit=1024)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.digests(read(spark, sf_dir, "documents"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(read(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), packing.default_vocabulary(), room=4096)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_token_counts": op4_token_counts,
-        "op9_pattern_packing": op9_pattern_packing,
-    }
+    own = (op1_capture_index, op3_reply_trees, op4_token_counts, op5_toxicity, op6_transport_stream, op7_kneser_ney, op8_quality, op9_pattern_packing, op10_decontamination)
+    return {f.__name__: f for f in own}
+
+
+#: Every turn's escaped text and role are as long as these say; each turn adds ``### ``, ``: ``, ``</turn>`` and a line feed.
+OP3_SQL = r"""
+WITH extra(conv_id, turn, role, text) AS (
+  VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT conv_id, turn, role, text FROM extra
+), sized AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') AS safe,
+    replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c') AS safe_role
+  FROM said
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(safe) + length(safe_role) + 14) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_reply_trees": OP3_SQL}
