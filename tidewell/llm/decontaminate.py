@@ -31,14 +31,14 @@ SENT_SHINGLES = 2_000_000
 
 
 def shingled(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with n_words and ``shingles`` (null below five words) instead of the text."""
+    """``rows`` with n_words and ``shingles`` (none below five words) instead of the text."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     keep = [c for c in rows.columns if c != text]
     out = rows.select(*keep, words.alias("_w")).select(*keep, F.size("_w").alias("n_words"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"), F.transform("_w", lambda w: F.length(w)).alias("_l"))
     hashed = ", ".join(f"get(_h, i + {k})" for k in range(1, WORDS))
     letters = " + ".join(f"get(_l, i + {k})" for k in range(WORDS))
-    made = F.expr(f"transform(slice(_h, 1, n_words - {WORDS - 1}), (x, i) -> (xxhash64(x, {hashed}) & -256L) | least(255, 10 + {letters}))")
-    return out.filter(F.col("n_words") >= WORDS).select(*keep, "n_words", made.alias("shingles"))
+    made = F.expr(f"transform(slice(_h, 1, greatest(0, n_words - {WORDS - 1})), (x, i) -> (xxhash64(x, {hashed}) & -256L) | least(255, 10 + {letters}))")
+    return out.select(*keep, "n_words", made.alias("shingles"))
 
 
 def simhash(shingles: str) -> str:
@@ -72,7 +72,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         placed = F.broadcast(placed)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     marked = rows.withColumn("text_hash", F.xxhash64("text"))
-    seen = shingled(marked).select("doc_id", "text_hash", "n_words", F.posexplode("shingles").alias("at", "shingle"))
+    # The outer form: of the plain one the optimizer infers a filter that computes every shingle anew.
+    seen = shingled(marked).select("doc_id", "text_hash", "n_words", F.posexplode_outer("shingles").alias("at", "shingle"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n_words") - F.col("size")))
     windows = seen.join(placed, "shingle").select("doc_id", "text_hash", "size", start.cast("int").alias("start"))
     windows = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
