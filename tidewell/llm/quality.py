@@ -57,7 +57,7 @@ def fit(rows: list[tuple[int, str]], steps: int = 100, decay: float = 1e-3) -> M
         return Model(np.zeros(1 << BITS, np.float32), grades)
     at = {g: k for k, g in enumerate(grades)}
     y = np.array([at[g] for g, _ in rows])
-    x = Incidence([make_up(text) for _, text in rows], GRAMS)
+    x = Incidence((make_up(text) for _, text in rows), GRAMS)
     # Thresholds: the first is free, the others add exp(gap) each, so they stay in order.
     share = np.clip([(y > k).mean() for k in range(len(grades) - 1)], 1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)

@@ -8,6 +8,8 @@ incidence apart, which is far smaller than document-to-feature; scoring remember
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ BITS = 19
 #: Distinct words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: At most so many labelled rows, those first by a hash of their id, are used for fitting.
-FITTED_ROWS = 6_000
+FITTED_ROWS = 5_000
 
 
 def features(word: str, shortest: int, longest: int) -> list[int]:
@@ -41,29 +43,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
 
 
 class Incidence:
-    """Documents as weighted words, words as features."""
+    """Documents as weighted words, words as features; in flat arrays of small numbers."""
 
-    def __init__(self, documents: list[dict[str, float]], grams: tuple[int, int]):
+    #: Features that are summed at a time, which bounds what a pass holds.
+    STEP = 1_000_000
+
+    def __init__(self, documents: Iterable[dict[str, float]], grams: tuple[int, int]):
         words: dict[str, int] = {}
-        docs, ids, weights = [], [], []
-        for k, own in enumerate(documents):
+        docs, ids, weights, feature, first = array("i"), array("i"), array("f"), array("i"), array("q")
+        self.docs = 0
+        for own in documents:
             for w, x in own.items():
-                docs.append(k)
-                ids.append(words.setdefault(w, len(words)))
+                if (at := words.get(w)) is None:
+                    at = words[w] = len(words)
+                    first.append(len(feature))
+                    feature.extend(features(w, *grams))
+                docs.append(self.docs)
+                ids.append(at)
                 weights.append(x)
-        self.doc, self.word, self.weight = np.array(docs, np.int64), np.array(ids, np.int64), np.array(weights)
-        hashed = [features(w, *grams) for w in words]
-        self.of = np.repeat(np.arange(len(words)), [len(x) for x in hashed])
-        self.feature = np.array([f for x in hashed for f in x], np.int64)
-        self.docs, self.words = len(documents), len(words)
+            self.docs += 1
+        self.words = len(words)
+        self.doc, self.word, self.weight = (np.frombuffer(x, k) if x else np.zeros(0, k) for x, k in ((docs, np.int32), (ids, np.int32), (weights, np.float32)))
+        self.feature = np.frombuffer(feature, np.int32) if feature else np.zeros(0, np.int32)
+        self.first = np.append(np.frombuffer(first, np.int64) if first else np.zeros(0, np.int64), len(feature))
+        # Words whose features start in the same step go together.
+        self.cuts = np.unique(np.append(np.searchsorted(self.first[:-1], np.arange(0, len(feature) + 1, self.STEP)), self.words))
+
+    def _steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            lo, hi = self.first[a], self.first[b]
+            yield a, b, self.feature[lo:hi], self.first[a:b] - lo
 
     def forward(self, theta: np.ndarray) -> np.ndarray:
-        s = np.bincount(self.of, weights=theta[self.feature], minlength=self.words)
+        s = np.zeros(self.words)
+        for a, b, feature, first in self._steps():
+            s[a:b] = np.add.reduceat(theta[feature], first)
         return np.bincount(self.doc, weights=self.weight * s[self.word], minlength=self.docs)
 
     def back(self, slope: np.ndarray) -> np.ndarray:
-        s = np.bincount(self.word, weights=self.weight * slope[self.doc], minlength=self.words)
-        return np.bincount(self.feature, weights=s[self.of], minlength=1 << BITS)
+        s, out = np.bincount(self.word, weights=self.weight * slope[self.doc], minlength=self.words), np.zeros(1 << BITS)
+        for a, b, feature, first in self._steps():
+            out += np.bincount(feature, weights=np.repeat(s[a:b], np.diff(np.append(first, len(feature)))), minlength=1 << BITS)
+        return out
 
 
 class Adam:

@@ -44,7 +44,7 @@ def fit(rows: list[tuple[int, str]], steps: int = 80, smoothing: float = 1.0, de
     bias = math.log(prior / (1 - prior))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), bias)
-    x = Incidence([dict.fromkeys(words_of(text), 1.0) for _, text in rows], GRAMS)
+    x = Incidence((dict.fromkeys(sorted(words_of(text)), 1.0) for _, text in rows), GRAMS)
     p, q = smoothing + x.back(y), smoothing + x.back(1 - y)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # Weak ratios are noise that adds up with the length of a text.
