@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, decontaminate, kneser_ney, packing, quality, token_counts, toxicity, transport_stream, warc
+from tidewell.llm import chat, decontaminate, jaccard_join, kneser_ney, packing, quality, token_counts, toxicity, transport_stream, warc
 from tidewell.llm._util import read
 
 
@@ -15,6 +15,10 @@ def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.scan(directory, payloads=False).drop("payload", "url")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_capture_index, op3_reply_trees, op4_token_counts, op5_toxicity, op6_transport_stream, op7_kneser_ney, op8_quality, op9_pattern_packing, op10_decontamination)
+    own = (op1_capture_index, op2_jaccard_join, op3_reply_trees, op4_token_counts, op5_toxicity, op6_transport_stream, op7_kneser_ney, op8_quality, op9_pattern_packing, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
