@@ -1,7 +1,7 @@
 """Chat formatting of reply trees, with DataFrame functions alone.
 
-``paths`` enumerates the root-to-leaf paths of reply trees by self-joins, one level a round, and
-ranks them by the score of their branches; ``formatted`` writes each chosen path as one
+``paths`` enumerates the root-to-leaf paths of reply trees by self-joins that double their reach
+each round, and ranks them by the score of their branches; ``formatted`` writes each chosen path as one
 conversation with a loss mask over the assistant's texts; ``parsed`` reads it back.
 
 The template marks a turn as ``### role: text</turn>`` and a line feed.  Inside texts and roles a
@@ -11,7 +11,7 @@ no control string is left, and the text comes back exactly.
 
 Edge cases: a null text or role is empty; rows that repeat a turn all count, ordered by (turn, role,
 text); a null conv_id is a conversation of its own name; messages whose parent is missing are
-roots; those on a cycle belong to no path; ties of score go to the smaller leaf; an empty table
+roots; those on or under a cycle belong to no path; ties of score go to the smaller leaf; an empty table
 gives an empty table; other columns of the input are ignored.
 """
 
@@ -49,48 +49,54 @@ def chained(rows: DataFrame) -> DataFrame:
     return own.withColumn("msg", seq.cast("long")).select("conv_id", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """conv_id, leaf, path (message numbers from the root), score (sum along the path) and rank in its conversation."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("~"))
-    links = written(messages.select(conv.alias("conv"), "conv_id", "msg", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")), "links")
-    above = links.select("conv", F.col("msg").alias("parent")).distinct()
-    inner = links.filter("parent is not null")
-    roots = links.filter("parent is null").unionByName(inner.join(above, ["conv", "parent"], "left_anti").select(links.columns))
-    frontier = roots.select("conv", "conv_id", F.col("msg").alias("leaf"), F.array("msg").alias("path"), "score")
-    child = inner.select("conv", F.col("parent").alias("leaf"), F.col("msg").alias("next"), F.col("score").alias("more"))
-    leaves = links.join(inner.select("conv", F.col("parent").alias("msg")).distinct(), ["conv", "msg"], "left_anti").select("conv", F.col("msg").alias("leaf"), F.lit(True).alias("is_leaf"))
-    frontier, done = written(frontier.join(leaves, ["conv", "leaf"], "left"), "frontier"), []
-    while True:
-        done.append(frontier.filter("is_leaf"))
-        frontier = frontier.filter("is_leaf is null").drop("is_leaf").join(child, ["conv", "leaf"])
-        frontier = frontier.select("conv", "conv_id", F.col("next").alias("leaf"), F.concat("path", F.array("next")).alias("path"), (F.col("score") + F.col("more")).alias("score"))
-        frontier = written(frontier.join(leaves, ["conv", "leaf"], "left"), "frontier")
-        if frontier.isEmpty():
-            break
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
+def _named(conv_id) -> Column:
+    return F.coalesce(F.col(conv_id).cast("string"), F.lit("~"))
+
+
+def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
+    """conv_id, leaf, score, rank, back, msg: the messages of each root-to-leaf path, ``back`` steps from its leaf.
+
+    Self-joins double the reach of every message's link to an ancestor, so a tree of depth d takes
+    about log2(d) rounds.  Leaves then walk the links of each reach to their root, adding up the
+    scores; in each conversation they are ranked, and only paths of rank up to ``top`` (None: all)
+    are enumerated.
+    """
+    links = messages.select(_named("conv_id").alias("conv"), "conv_id", "msg", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    links = written(links, "links")
+    here = links.select("conv", F.col("msg").alias("parent")).distinct()
+    up = links.join(here, ["conv", "parent"], "left_semi").select("conv", F.col("msg").alias("node"), F.col("parent").alias("above"), F.col("score").alias("sum"))
+    reach, most = [written(up, "reach")], links.count()
+    while not reach[-1].isEmpty() and 1 << len(reach) - 1 <= most:
+        near, far = reach[-1], reach[-1].select("conv", F.col("node").alias("above"), F.col("above").alias("further"), F.col("sum").alias("more"))
+        reach.append(written(near.join(far, ["conv", "above"]).select("conv", "node", F.col("further").alias("above"), (F.col("sum") + F.col("more")).alias("sum")), "reach"))
+    endless = reach.pop()  # of messages on or under a cycle, for nothing else reaches so far
+    parents = reach[0].select("conv", F.col("above").alias("msg")).distinct() if reach else endless.select("conv", F.col("above").alias("msg"))
+    leaves = links.join(parents, ["conv", "msg"], "left_anti").select("conv", "conv_id", F.col("msg").alias("leaf"), F.col("msg").alias("node"), F.lit(0.0).alias("score"))
+    leaves = leaves.join(endless.select("conv", "node").distinct(), ["conv", "node"], "left_anti").select(leaves.columns)
+    for step in reversed(reach):
+        leaves = leaves.join(step, ["conv", "node"], "left").select("conv", "conv_id", "leaf", F.coalesce("above", "node").alias("node"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score"))
+    roots = links.groupBy("conv", F.col("msg").alias("node")).agg(F.max("score").alias("own"))
     best = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))
-    return found.select("conv", "conv_id", "leaf", "path", "score", best.alias("rank"))
+    ranked = leaves.join(roots, ["conv", "node"]).select("conv", "conv_id", "leaf", (F.col("score") + F.col("own")).alias("score")).withColumn("rank", best)
+    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    found = written(ranked.withColumns({"back": F.lit(0).cast("long"), "node": F.col("leaf")}), "steps")
+    for k in range(len(reach) - 1, -1, -1):
+        further = found.join(reach[k], ["conv", "node"]).select("conv", "conv_id", "leaf", "score", "rank", (F.col("back") + (1 << k)).alias("back"), F.col("above").alias("node"))
+        found = written(found.select(further.columns).unionByName(further), "steps")
+    return found.withColumnRenamed("node", "msg")
 
 
-def formatted(messages: DataFrame, chosen: DataFrame, learner: str = "assistant") -> DataFrame:
+def formatted(messages: DataFrame, steps: DataFrame, learner: str = "assistant") -> DataFrame:
     """conv_id, leaf, text and mask: the (start, length) in code points of the learner's escaped texts."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("~"))
-    steps = chosen.select("conv", "conv_id", "leaf", F.posexplode("path").alias("at", "msg"))
-    said = messages.select(conv.alias("conv"), "msg", "role", "text")
+    said = messages.select(_named("conv_id").alias("conv"), "msg", "role", "text")
     head = F.concat(F.lit(OPEN + " "), escaped(F.col("role"), IN_ROLE), F.lit(": "))
-    turn = F.struct("at", head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == learner).alias("learn"))
-    turns = steps.join(said, ["conv", "msg"]).groupBy("conv", "conv_id", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(TURN_END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def span(acc, t):
-        begin, size = acc["at"] + F.length(t["head"]), F.length(t["body"]).cast("long")
-        grown = F.when(t["learn"], F.concat(acc["spans"], F.array(F.struct(begin.cast("long").alias("start"), size.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((begin + size + len(TURN_END)).cast("long").alias("at"), grown.alias("spans"))
-
-    return turns.select("conv_id", "leaf", whole.alias("text"), F.aggregate("turns", start, span, lambda a: a["spans"]).alias("mask"))
+    turns = steps.join(said, ["conv", "msg"]).select("conv", "conv_id", "leaf", (-F.col("back")).alias("at"), head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == learner).alias("learn"))
+    size = F.length("head") + F.length("body") + len(TURN_END)
+    before = F.sum(size).over(Window.partitionBy("conv", "leaf").orderBy("at")) - size + F.length("head")
+    span = F.when(F.col("learn"), F.struct(before.cast("long").alias("start"), F.length("body").cast("long").alias("length")))
+    turns = turns.select("conv", "conv_id", "leaf", "at", F.concat("head", "body", F.lit(TURN_END)).alias("turn"), span.alias("span"))
+    whole = turns.groupBy("conv", "conv_id", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "turn"))).alias("turns"), F.array_sort(F.collect_list("span")).alias("mask"))
+    return whole.select("conv_id", "leaf", F.array_join(F.col("turns.turn"), "").alias("text"), "mask")
 
 
 def parsed(conversations: DataFrame) -> DataFrame:
@@ -116,5 +122,4 @@ def digests(read_back: DataFrame) -> DataFrame:
 def best_conversations(messages: DataFrame) -> DataFrame:
     """Each conversation's best path, written to the shared folder in the template."""
     messages = written(messages, "messages")
-    chosen = paths(messages).filter("rank = 1")
-    return written(formatted(messages, chosen), "conversations")
+    return written(formatted(messages, paths(messages, top=1)), "conversations")
