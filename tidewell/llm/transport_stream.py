@@ -136,7 +136,7 @@ def demux_bytes(media: bytes) -> tuple:
         raise ValueError("a continuity counter is out of order")
     starts = np.flatnonzero(own[:, 1] & 0x40)
     payload, points, position = [], [], 0
-    for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(own)], strict=False):
         run = own[a:b]
         plain = run[:, 3] & 0x20 == 0
         whole, k = [], 0
