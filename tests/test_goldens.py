@@ -285,3 +285,14 @@ def test_program_reports_all_faults(spark):
     with pytest.raises(ProgramError) as fault:
         program.build()
     assert set(fault.value.faults) == {"bad", "worse"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewell.__main__ import main
+
+    file = tmp_path / "program.py"
+    file.write_text("from tidewell.plans.program import Program\n\ndef program(spark):\n    p = Program(spark)\n    p.output('numbers')(lambda p: p.spark.range(3))\n    return p\n")
+    main([str(file)])
+    main([str(file), "--inspect"])
+    said = capsys.readouterr().out
+    assert "== numbers ==" in said and "Physical Plan" in said

@@ -69,3 +69,13 @@ def scalar(df: DataFrame, column: str):
 def with_scalar(df: DataFrame, one: DataFrame, **names: str) -> DataFrame:
     """``df`` with values of a one-row collection beside each row; names: new=column."""
     return df.crossJoin(F.broadcast(one.select(*(F.col(v).alias(k) for k, v in names.items())).limit(1)))
+
+
+def inverted(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values to the sorted keys that have them: the index of a collection taken as a function."""
+    return df.groupBy(value).agg(F.array_sort(F.collect_list(key)).alias(key))
+
+
+def flattened(df: DataFrame, inner: str, *outer: str, position: str = POSITION) -> DataFrame:
+    """A collection of collections as one, over (outer, position)."""
+    return df.select(*outer, F.posexplode(inner).alias(position, inner))

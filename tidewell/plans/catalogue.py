@@ -104,6 +104,18 @@ def function_lookup(spark, sf):
     return collection.lookup(n, F.col("n_regionkey"), table(spark, sf, "region"), "r_regionkey", "r_name", "region").drop("n_regionkey")
 
 
+@query("SELECT n_regionkey AS region, len(list(n_nationkey)) AS n, list_sort(list(n_nationkey))[1] AS first FROM nation GROUP BY n_regionkey")
+def inverted_index(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("key"))
+    return collection.inverted(n, "key", "region").select("region", F.size("key").cast("long").alias("n"), scalars.at(F.col("key"), 0).alias("first"))
+
+
+@query("SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, n_nationkey AS key FROM nation")
+def flattened_groups(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("key"))
+    return collection.flattened(collection.inverted(n, "key", "region"), "key", "region")
+
+
 # --- joins -------------------------------------------------------------------------------------
 
 
