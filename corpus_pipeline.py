@@ -14,36 +14,33 @@ from tidewell.llm import decontaminate, jaccard_join, packing, quality, toxicity
 from tidewell.llm._util import read, written
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (column doc_id); null counts as an id."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents whose probability of the highest grade is under one half go.
+    """Quality classifier: rows whose text's probability of the highest grade is under one half go.
 
-    The labels of one fold in five are not used to fit.  Rows that share a doc_id stay or go together.
+    The labels of one fold in five are not used to fit.
     """
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return docs.join(quality.scored(docs, model).filter("not selected").select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return quality.selected(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents that are predicted toxic go."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return docs.join(toxicity.scored(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """Toxicity: rows whose text is predicted toxic go."""
+    return toxicity.civil(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of the documents that links connect (five words, 0.8), the one with the smallest doc_id stays.
 
-    Documents without words link with nothing and stay; of rows that repeat a doc_id one stays.
+    Documents without words, and rows with a null doc_id, link with nothing and stay; of rows that
+    repeat a doc_id one stays.
     """
-    found = jaccard_join.groups(docs, width=5, percent=80)
-    kept = _kept(docs, found.filter("doc_id <=> component_id"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return kept if repeated.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    found = written(jaccard_join.groups(docs, width=5, percent=80).filter("doc_id is not null"), "groups")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # Dropped documents grow with the corpus, so texts and they meet by a shuffle at every size.
+    dropped = gone.filter("least < doc_id").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    if gone.filter("n > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

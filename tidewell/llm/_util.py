@@ -51,6 +51,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(b: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most ``rows``, so that few of its texts are Python objects at a time."""
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import fold_of, strings
+from tidewell.llm._util import fold_of, slices, strings
 from tidewell.llm.text_linear import BITS, FITTED_ROWS, Adam, Incidence, WordScores, labelled_sample, sigmoid
 
 GRAMS = (1, 3)
@@ -88,6 +88,32 @@ def assess(text: str, known: WordScores) -> float:
     return math.fsum(x * known[w] for w, x in make_up(text).items())
 
 
+def _tails(texts: list[str], known: WordScores, thresholds: list[float]) -> np.ndarray:
+    """P(grade > k) by text and threshold."""
+    z = np.array([assess(x, known) for x in texts], float)
+    return sigmoid(z[:, None] - np.array(thresholds, float)[None, :])
+
+
+def _tail(tails: np.ndarray, grades: list[int], cut: int) -> np.ndarray:
+    """P(grade >= cut)."""
+    above = sum(g < cut for g in grades)
+    return np.ones(len(tails)) if above == 0 else np.zeros(len(tails)) if above == len(grades) else tails[:, above - 1]
+
+
+def selected(docs: DataFrame, model: Model, cut: int | None = None, at_least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whole, whose text has that tail probability: one pass and no join."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.theta, model.grades, model.thresholds))
+    cut = model.grades[-1] if cut is None else cut
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, grades, thresholds = sent.value
+        known = WordScores(theta, GRAMS)
+        for b in (part for whole in batches for part in slices(whole)):
+            yield b.filter(pa.array(_tail(_tails(strings(b.column("text")), known, thresholds), grades, cut) >= at_least))
+
+    return docs.mapInArrow(select, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model, cut: int | None = None, at_least: float = 0.5, folds: int = 5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability of a grade of ``cut`` (the highest) or more, and selected."""
     sent = docs.sparkSession.sparkContext.broadcast((model.theta, model.grades, model.thresholds))
@@ -97,13 +123,10 @@ def scored(docs: DataFrame, model: Model, cut: int | None = None, at_least: floa
         theta, grades, thresholds = sent.value
         known = WordScores(theta, GRAMS)
         steps = np.diff(np.array(grades, float))
-        above = sum(g < cut for g in grades)  # tails: P(grade > grades[above - 1])
-        for b in batches:
-            z = np.array([assess(x, known) for x in strings(b.column(1))], float)
-            tails = sigmoid(z[:, None] - np.array(thresholds, float)[None, :])
-            expected = grades[0] + tails @ steps if len(steps) else np.full(len(z), float(grades[0]))
-            tail = np.ones(len(z)) if above == 0 else np.zeros(len(z)) if above == len(grades) else tails[:, above - 1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), pa.array(tail)], ["doc_id", "expected_grade", "tail_probability"])
+        for b in (part for whole in batches for part in slices(whole)):
+            tails = _tails(strings(b.column(1)), known, thresholds)
+            expected = grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(grades[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), pa.array(_tail(tails, grades, cut))], ["doc_id", "expected_grade", "tail_probability"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, expected_grade double, tail_probability double")
     return found.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= at_least).alias("selected"))

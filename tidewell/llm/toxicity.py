@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import fold_of, strings
+from tidewell.llm._util import fold_of, slices, strings
 from tidewell.llm.text_linear import BITS, FITTED_ROWS, Adam, Incidence, WordScores, labelled_sample, sigmoid
 
 GRAMS = (3, 5)
@@ -62,6 +62,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return fit(labelled_sample(docs, labels, label, fold_of("doc_id", folds) != 0, rows))
 
 
+def _scores(texts: list[str], known: WordScores, bias: float) -> np.ndarray:
+    # fsum: the same whatever the order of the words, so equal texts have equal scores
+    return sigmoid(np.array([bias + math.fsum(map(known.__getitem__, words_of(x))) for x in texts], float))
+
+
+def civil(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, whole, whose text is not predicted toxic: one pass and no join."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.theta, model.bias))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, bias = sent.value
+        known = WordScores(theta, GRAMS)
+        for b in (part for whole in batches for part in slices(whole)):
+            yield b.filter(pa.array(_scores(strings(b.column("text")), known, bias) < 0.5))
+
+    return docs.mapInArrow(select, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.theta, model.bias))
@@ -69,10 +87,8 @@ def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta, bias = sent.value
         known = WordScores(theta, GRAMS)
-        for b in batches:
-            # fsum: the same whatever the order of the words, so equal texts have equal scores
-            z = [bias + math.fsum(map(known.__getitem__, words_of(x))) for x in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(np.array(z, float)))], ["doc_id", "score"])
+        for b in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(strings(b.column(1)), known, bias))], ["doc_id", "score"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
     return found.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
