@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import batch, tasks, texts, written
+from tidewell.llm._util import batch, slices, tasks, texts, written
 from tidewell.llm.components import components
 from tidewell.llm.kneser_ney import BLOB_SCHEMA, BLOBS, U8, Hashes, by_part, hash_edges, mixed, pack, unpack
 
@@ -47,7 +47,7 @@ BLOCK = 512
 #: Nodes that every block of a large group holds, about.
 SHARED = 16
 #: Content hashes that a task sorts at a time.
-FLUSH = 1_500_000
+FLUSH = 750_000
 #: Weight of probing against merging in the choice of long lists.
 MU = 0.01
 TIE = np.dtype([("node", "<i8"), ("center", "<i8"), ("need", "<i4"), ("up", "<i4"), ("hits", "<i4")])
@@ -158,7 +158,7 @@ def ties(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
             rows += [(p, 0, pack(key[a:b], node[a:b].view(U8), info[a:b].view(U8))) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
             return rows
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for text in texts(b.column(0)):
                 own = shingles(text, width, hashes)
                 if not len(own) or (node := node_of(own)) in seen:
@@ -256,7 +256,7 @@ def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, np.ndarray, int | None]]]:
     """The nodes of each (group, block), rows sorted so: (node, set, component if it is a query)."""
     hashes, here, held, nodes = Hashes(), None, [], Counter()
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         columns = [b.column(c).to_pylist() for c in ("grp", "block", "node", "query")]
         for grp, block, node, query, text in zip(*columns, texts(b.column("text")), strict=True):
             if (grp, block) != here:
@@ -295,7 +295,8 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     placed = members.select("grp", "node", "doc_id", F.explode(F.when(F.col("shared"), everywhere).otherwise(F.array("home"))).alias("block"), F.lit(None).cast("long").alias("query"))
 
     def search(rows: DataFrame, within) -> DataFrame:
-        with_text = rows.join(docs.select("doc_id", "text"), "doc_id").select("grp", "block", "node", "query", "text")
+        # Candidates grow with the corpus, so texts and they meet by a shuffle at every size.
+        with_text = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id").select("grp", "block", "node", "query", "text")
         dealt = with_text.repartition(4 * n, "grp", "block").sortWithinPartitions("grp", "block")
         return dealt.mapInArrow(within, "a long, b long")
 
@@ -358,7 +359,7 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             sets = [shingles(x, width, hashes) for x in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
