@@ -1,7 +1,7 @@
 """Literal inputs with known answers."""
 
 import pytest
-from conftest import bag
+from conftest import SMALL, bag
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -294,5 +294,8 @@ def test_command_line(spark, tmp_path, capsys):
     file.write_text("from tidewell.plans.program import Program\n\ndef program(spark):\n    p = Program(spark)\n    p.output('numbers')(lambda p: p.spark.range(3))\n    return p\n")
     main([str(file)])
     main([str(file), "--inspect"])
+    (tmp_path / "sum.txt").write_text("sum([r.r_regionkey for r in region])")
+    main([str(tmp_path / "sum.txt"), "--tables", SMALL])
     said = capsys.readouterr().out
+    assert "|10   |" in said
     assert "== numbers ==" in said and "Physical Plan" in said

@@ -14,6 +14,7 @@ from tidewell.operators.aggregate import Groups, largest, mean, size, total
 from tidewell.operators.aggregate import least as smallest
 from tidewell.operators.comprehend import Comprehension, generator
 from tidewell.operators.transact import Transactions
+from tidewell.plans.text import Text
 from tidewell.sources.tables import arriving, table
 from tidewell.streaming import live
 
@@ -451,6 +452,20 @@ def reachability(spark, sf):
     return fixpoint.reachable(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).alias("dst")))
 
 
+# --- programs as text --------------------------------------------------------------------------
+
+
+@query("SELECT c_name AS name, o_orderkey AS key FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderkey > 10")
+def text_join(spark, sf):
+    text = Text(spark, customer=table(spark, sf, "customer"), orders=table(spark, sf, "orders"))
+    return text.run("[rec(name=c.c_name, key=o.o_orderkey) for c in customer for o in orders if c.c_custkey == o.o_custkey if o.o_orderstatus == 'F' and o.o_orderkey > 10]")
+
+
+@query("SELECT n_regionkey AS region, CAST(sum(n_nationkey) AS BIGINT) AS keys, max(n_name) AS last FROM nation GROUP BY n_regionkey HAVING count(*) > 2")
+def text_groups(spark, sf):
+    return Text(spark, nation=table(spark, sf, "nation")).run("[rec(region=key(g), keys=sum([n.n_nationkey for n in g]), last=max([n.n_name for n in g])) for g in groupby(nation, lambda n: n.n_regionkey) if count(g) > 2]")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
