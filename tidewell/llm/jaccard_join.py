@@ -264,8 +264,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
                     yield held
                 here, held, nodes = (grp, block), [], Counter()
             own = shingles(text, width, hashes)
-            if len(own) and node_of(own) == node and not nodes[node, query is None]:
-                nodes[node, query is None] += 1
+            role = node, query is not None and query >= 0  # a query can be one of the block's own nodes, too
+            if len(own) and node_of(own) == node and not nodes[role]:
+                nodes[role] += 1
                 held.append((node, own, query))
     if held:
         yield held
