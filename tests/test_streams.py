@@ -85,3 +85,38 @@ def test_http(spark):
         c.join()
     http.close()
     assert said == {1: "2", 2: "4"}
+
+
+def test_replies_are_matched_by_request(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "request_id long, body string").coalesce(1).write.parquet(str(tmp_path / "r"))
+    stream = arriving(spark, str(tmp_path / "r"), "request_id long, body string")
+    said = []
+    live.replying(stream, lambda df: df.select("request_id", F.upper("body").alias("body")), lambda df: said.extend(map(tuple, df.collect())))
+    assert sorted(said) == [(1, "A"), (2, "B")]
+
+
+def test_windows_of_event_time(spark, tmp_path):
+    for rows in ([(0, 1), (30, 2), (70, 4)], [(200, 8)], [(1000, 16)]):
+        spark.createDataFrame(rows, "s long, v long").select(F.timestamp_seconds("s").alias("t"), "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "w"))
+    stream = arriving(spark, str(tmp_path / "w"), "t timestamp, v long")
+    got = live.drained(live.windowed(stream, "t", "1 minute", "0 seconds", s=F.sum("v")))
+    assert set(bag(got.select(F.unix_timestamp("start"), "s"))) <= {(0, 3), (60, 4), (180, 8), (960, 16)} and got.count() >= 3
+
+
+def test_reads_see_the_writes_before_them(spark):
+    """One client posts, another gets: each get has both variables of one snapshot."""
+    from tidewell.operators.asof import asof_join
+    from tidewell.operators.transact import Transactions
+
+    posts = spark.createDataFrame([(1, "x"), (3, "y")], "at long, body string")
+    gets = spark.createDataFrame([(0, "s"), (2, "s"), (9, "s")], "at long, store string")
+
+    def post(tx, row):
+        tx["a"] = row["body"]
+        tx["b"] = row["body"]
+
+    store = Transactions({"a": ("string", "a0"), "b": ("string", "b0")}).writer(posts, "at", ["a", "b"], post)
+    log = store.log().select(F.lit("s").alias("store"), F.col("arrival").alias("at"), "tick", "a", "b")
+    seen = asof_join(gets, log, "at", ["a", "b"], ["store"], write_order=["tick"])
+    got = seen.select("at", F.concat(F.coalesce("a", F.lit("a0")), F.coalesce("b", F.lit("b0"))))
+    assert bag(got) == [(0, "a0b0"), (2, "xx"), (9, "yy")]
