@@ -292,13 +292,13 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.col("n")) < SHARED)
     representative = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
     members = written(own.select("grp", "node", "blocks", first.alias("home"), shared.alias("shared")).join(representative, "node"), "members")
+    # Candidates grow with the corpus, so texts and they meet by a shuffle at every size; once, for both searches.
+    candidates = written(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id").drop("doc_id"), "candidates")
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    placed = members.select("grp", "node", "doc_id", F.explode(F.when(F.col("shared"), everywhere).otherwise(F.array("home"))).alias("block"), F.lit(None).cast("long").alias("query"))
+    placed = candidates.select("grp", "node", "text", F.explode(F.when(F.col("shared"), everywhere).otherwise(F.array("home"))).alias("block"), F.lit(None).cast("long").alias("query"))
 
     def search(rows: DataFrame, within) -> DataFrame:
-        # Candidates grow with the corpus, so texts and they meet by a shuffle at every size.
-        with_text = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id").select("grp", "block", "node", "query", "text")
-        dealt = with_text.repartition(4 * n, "grp", "block").sortWithinPartitions("grp", "block")
+        dealt = rows.repartition(4 * n, "grp", "block").sortWithinPartitions("grp", "block")
         return dealt.mapInArrow(within, "a long, b long")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +308,7 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, width):
-            # ``query`` holds a component: of a query as it is, of a block's own node negated in ``_role``.
+            # ``query`` holds a component: of a query as it is, of a block's own node as a negative number.
             stay = [(x, s, -q - 1) for x, s, q in block if q is not None and q < 0]
             asked = [(x, s, q) for x, s, q in block if q is not None and q >= 0]
             if not stay or not asked:
@@ -343,9 +343,10 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     outside = labelled.filter("is_main is null")
     if outside.isEmpty():
         return edges
-    busy = outside.select("grp").distinct()
-    asked = outside.select("grp", "node", "doc_id", F.explode(everywhere).alias("block"), F.col("code").alias("query"))
-    stay = labelled.join(busy, "grp", "left_semi").select("grp", "node", "doc_id", F.col("home").alias("block"), (-F.col("code") - 1).alias("query"))
+    own = candidates.filter("blocks > 1").select("node", "blocks", "home", "text")
+    asked = outside.select("grp", "node", "code").join(own, "node").select("grp", "node", "text", F.explode(everywhere).alias("block"), F.col("code").alias("query"))
+    busy = labelled.join(outside.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "code")
+    stay = busy.join(own, "node").select("grp", "node", "text", F.col("home").alias("block"), (-F.col("code") - 1).alias("query"))
     return edges.unionByName(written(search(asked.unionByName(stay), across), "links"))
 
 
