@@ -16,16 +16,17 @@ def held_out(doc_id, folds):
 
 
 def test_incidence_is_the_plain_sum():
-    docs = [{"ab": 2.0, "cd": 1.0}, {}, {"ab": 0.5, "é" * 50: 1.0}]
+    docs = [{"ab": 2.0, "cd": 1.0, " mark 1": 3.0}, {}, {"ab": 0.5, "é" * 50: 1.0}]
     x, theta = Incidence(docs, (1, 2)), np.random.default_rng(0).normal(size=1 << BITS)
     from tidewell.llm.text_linear import features
 
-    want = [sum(v * sum(theta[f] for f in features(w, 1, 2)) for w, v in d.items()) for d in docs]
+    own = {w: [int(x) for f, _ in features([w], 1, 2) for x in f] for d in docs for w in d}
+    want = [sum(v * sum(theta[f] for f in own[w]) for w, v in d.items()) for d in docs]
     assert np.allclose(x.forward(theta), want)
     back = np.zeros(1 << BITS)
     for d, s in zip(docs, [1.0, 2.0, 3.0], strict=True):
         for w, v in d.items():
-            np.add.at(back, features(w, 1, 2), v * s)
+            np.add.at(back, own[w], v * s)
     assert np.allclose(x.back(np.array([1.0, 2.0, 3.0])), back)
 
 
@@ -63,7 +64,9 @@ def test_three_grades_are_ordered():
     from tidewell.llm.text_linear import WordScores
 
     known = WordScores(m.theta, quality.GRAMS)
-    z = {g: np.mean([quality.assess(t, known) for y, t in rows if y == g]) for g in (0, 1, 2)}
+    made = [(y, quality.make_up(t)) for y, t in rows]
+    known.learn(d for _, d in made)
+    z = {g: np.mean([quality.assess(d, known) for y, d in made if y == g]) for g in (0, 1, 2)}
     assert z[0] < m.thresholds[0] < z[1] < m.thresholds[1] < z[2]
 
 

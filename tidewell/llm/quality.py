@@ -16,7 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import eq
+from operator import eq, mul
 
 import numpy as np
 import pyarrow as pa
@@ -84,13 +84,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(labelled_sample(docs, labels, label, fold_of("doc_id", folds) != 0, rows))
 
 
-def assess(text: str, known: WordScores) -> float:
-    return math.fsum(x * known[w] for w, x in make_up(text).items())
+def assess(own: dict[str, float], known: WordScores) -> float:
+    return math.fsum(map(mul, own.values(), map(known.__getitem__, own)))
 
 
 def _tails(texts: list[str], known: WordScores, thresholds: list[float]) -> np.ndarray:
     """P(grade > k) by text and threshold."""
-    z = np.array([assess(x, known) for x in texts], float)
+    own = [make_up(x) for x in texts]
+    known.learn(own)
+    z = np.array([assess(x, known) for x in own], float)
     return sigmoid(z[:, None] - np.array(thresholds, float)[None, :])
 
 

@@ -19,15 +19,31 @@ BITS = 19
 #: Distinct words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: At most so many labelled rows, those first by a hash of their id, are used for fitting.
-FITTED_ROWS = 5_000
+FITTED_ROWS = 4_000
 
 
-def features(word: str, shortest: int, longest: int) -> list[int]:
-    """Hash values of the distinct n-grams of a word with its ends marked; a marker (it opens with a blank) is one feature."""
-    if word[:1] == " ":
-        return [zlib.crc32(word.encode()) >> 32 - BITS]
-    data = b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03"
-    return [zlib.crc32(g) >> 32 - BITS for g in {data[i : i + n] for n in range(shortest, longest + 1) for i in range(len(data) - n + 1)}]
+def marker(word: str) -> bool:
+    """Markers of a text's make-up open with a blank, which no word does; each is one feature."""
+    return word[:1] == " "
+
+
+def features(words: list[str], shortest: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, position of its word) of all n-grams of bytes of the words, ends marked, for each n; then of the markers."""
+    data = [b"\x02%b\x03" % w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    size[[k for k, w in enumerate(words) if marker(w)]] = 0
+    flat = np.frombuffer(b"".join(x for x, n in zip(data, size, strict=True) if n) + b"\0" * longest, np.uint8).astype(np.uint32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    left = (np.repeat(np.cumsum(size), size) - np.arange(len(word))).astype(np.int32)
+    rolled = np.zeros(len(word), np.uint32)
+    for n in range(1, longest + 1):
+        rolled = rolled * np.uint32(0x01000193) + flat[n - 1 : n - 1 + len(word)]
+        if n >= shortest:
+            inside = left >= n
+            mixed = (rolled[inside] ^ np.uint32(n << 27)) * np.uint32(0x9E3779B1)
+            yield ((mixed ^ mixed >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS)).astype(np.int32), word[inside]
+    marked = [k for k, w in enumerate(words) if marker(w)]
+    yield np.array([zlib.crc32(words[k].encode()) >> 32 - BITS for k in marked], np.int32), np.array(marked, np.int32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> list[tuple[int, str]]:
@@ -45,45 +61,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
 class Incidence:
     """Documents as weighted words, words as features; in flat arrays of small numbers."""
 
-    #: Features that are summed at a time, which bounds what a pass holds.
-    STEP = 1_000_000
-
     def __init__(self, documents: Iterable[dict[str, float]], grams: tuple[int, int]):
         words: dict[str, int] = {}
-        docs, ids, weights, feature, first = array("i"), array("i"), array("f"), array("i"), array("q")
+        docs, ids, weights = array("i"), array("i"), array("f")
         self.docs = 0
         for own in documents:
             for w, x in own.items():
-                if (at := words.get(w)) is None:
-                    at = words[w] = len(words)
-                    first.append(len(feature))
-                    feature.extend(features(w, *grams))
                 docs.append(self.docs)
-                ids.append(at)
+                ids.append(words.setdefault(w, len(words)))
                 weights.append(x)
             self.docs += 1
         self.words = len(words)
         self.doc, self.word, self.weight = (np.frombuffer(x, k) if x else np.zeros(0, k) for x, k in ((docs, np.int32), (ids, np.int32), (weights, np.float32)))
-        self.feature = np.frombuffer(feature, np.int32) if feature else np.zeros(0, np.int32)
-        self.first = np.append(np.frombuffer(first, np.int64) if first else np.zeros(0, np.int64), len(feature))
-        # Words whose features start in the same step go together.
-        self.cuts = np.unique(np.append(np.searchsorted(self.first[:-1], np.arange(0, len(feature) + 1, self.STEP)), self.words))
-
-    def _steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            lo, hi = self.first[a], self.first[b]
-            yield a, b, self.feature[lo:hi], self.first[a:b] - lo
+        self.features = list(features(list(words), *grams))
 
     def forward(self, theta: np.ndarray) -> np.ndarray:
         s = np.zeros(self.words)
-        for a, b, feature, first in self._steps():
-            s[a:b] = np.add.reduceat(theta[feature], first)
+        for feature, word in self.features:
+            s += np.bincount(word, weights=theta[feature], minlength=self.words)
         return np.bincount(self.doc, weights=self.weight * s[self.word], minlength=self.docs)
 
     def back(self, slope: np.ndarray) -> np.ndarray:
         s, out = np.bincount(self.word, weights=self.weight * slope[self.doc], minlength=self.words), np.zeros(1 << BITS)
-        for a, b, feature, first in self._steps():
-            out += np.bincount(feature, weights=np.repeat(s[a:b], np.diff(np.append(first, len(feature)))), minlength=1 << BITS)
+        for feature, word in self.features:
+            out += np.bincount(feature, weights=s[word], minlength=1 << BITS)
         return out
 
 
@@ -99,16 +100,22 @@ class Adam:
 
 
 class WordScores(dict):
-    """Word to the sum of the weights of its features."""
+    """Word to the sum of the weights of its features; ``learn`` the words of some texts before asking for them."""
 
     def __init__(self, theta: np.ndarray, grams: tuple[int, int]):
         self.theta, self.grams = theta, grams
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= REMEMBERED:
+    def learn(self, texts: Iterable[Iterable[str]]) -> None:
+        texts = list(texts)
+        new = {w for own in texts for w in own if w not in self}
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        found = self[word] = float(self.theta[features(word, *self.grams)].sum())
-        return found
+            new = {w for own in texts for w in own}
+        words = list(new)
+        s = np.zeros(len(words))
+        for feature, word in features(words, *self.grams):
+            s += np.bincount(word, weights=self.theta[feature], minlength=len(words))
+        self.update(zip(words, s.tolist(), strict=True))
 
 
 def sigmoid(x):

@@ -63,8 +63,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 
 def _scores(texts: list[str], known: WordScores, bias: float) -> np.ndarray:
+    own = [words_of(x) for x in texts]
+    known.learn(own)
     # fsum: the same whatever the order of the words, so equal texts have equal scores
-    return sigmoid(np.array([bias + math.fsum(map(known.__getitem__, words_of(x))) for x in texts], float))
+    return sigmoid(np.array([bias + math.fsum(map(known.__getitem__, x)) for x in own], float))
 
 
 def civil(docs: DataFrame, model: Model) -> DataFrame:
