@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidewell.sources.package import in_batches
+
 
 def running(df: DataFrame, order: list[str], by: list[str] | None = None, **outputs: Column) -> DataFrame:
     """``df`` with aggregates over the rows so far; ``outputs`` are aggregates such as ``F.sum("x")``."""
@@ -77,7 +79,7 @@ def scan(df: DataFrame, order: list[str], init: dict, step: Callable, output: st
     keys = T.StructType([df.schema[c] for c in by])
     full = pa.schema([*to_arrow_schema(keys), *arrow]) if by else arrow
     dealt = df.repartition(*by) if by else df.coalesce(1)
-    return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, T.StructType([*keys.fields, *schema.fields]))
+    return dealt.sortWithinPartitions(*by, *order).transform(in_batches, run, T.StructType([*keys.fields, *schema.fields]))
 
 
 def last_or(df: DataFrame, value: str, order: str, default, by: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidewell.sources.package import in_batches
+
 
 class TransactionError(ValueError):
     """A transaction program that breaks a rule; raised when it is built."""
@@ -148,7 +150,7 @@ class Transactions:
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        return dealt.repartition("_store", "_key").sortWithinPartitions("_store", "_key", "_arrival", "_writer").mapInArrow(replay, schema)
+        return dealt.repartition("_store", "_key").sortWithinPartitions("_store", "_key", "_arrival", "_writer").transform(in_batches, replay, schema)
 
     def changes(self, variable: str, log: DataFrame | None = None) -> DataFrame:
         """tick, arrival and value of the variable after each commit of its store."""

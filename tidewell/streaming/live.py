@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewell.sources.package import shipped
 from tidewell.sources.shared import shared_path
 
 
@@ -66,6 +67,7 @@ def stateful(stream: DataFrame, by: list[str], order: list[str], init: dict, ste
         held.update(tuple(own[f] for f in fields))
         yield pd.DataFrame(out, columns=columns)
 
+    shipped(stream.sparkSession)
     return stream.groupBy(*by).applyInPandasWithState(run, T.StructType([*keys.fields, *made.fields]), state, "append", GroupStateTimeout.NoTimeout)
 
 
