@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from tidewell.llm._util import batch, slices, tasks, texts, written
 from tidewell.llm.components import components
 from tidewell.llm.kneser_ney import BLOB_SCHEMA, BLOBS, U8, Hashes, by_part, hash_edges, mixed, pack, unpack
+from tidewell.sources.package import in_batches
 
 #: Nodes of a group that are searched together; larger groups have blocks of three quarters of this.
 BLOCK = 512
@@ -194,8 +195,8 @@ def ties(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
             for x in found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in TIE.names], names=list(TIE.names))
 
-    rows = docs.select("text").mapInArrow(read, BLOBS)
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "node long, center long, need int, up int, hits int")
+    rows = docs.select("text").transform(in_batches, read, BLOBS)
+    return rows.repartition(parts, "part").sortWithinPartitions("part").transform(in_batches, meet, "node long, center long, need int, up int, hits int")
 
 
 class Block:
@@ -299,7 +300,7 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
 
     def search(rows: DataFrame, within) -> DataFrame:
         dealt = rows.repartition(4 * n, "grp", "block").sortWithinPartitions("grp", "block")
-        return dealt.mapInArrow(within, "a long, b long")
+        return dealt.transform(in_batches, within, "a long, b long")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, width):
@@ -365,7 +366,7 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             sets = [shingles(x, width, hashes) for x in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    meta = written(docs.mapInArrow(measure, "doc_id long, n_shingles long, node long"), "sets")
+    meta = written(docs.transform(in_batches, measure, "doc_id long, n_shingles long, node long"), "sets")
     least = meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = components(links(docs.filter("doc_id is not null"), meta.filter("doc_id is not null"), width, percent))
     named = roots.join(least, "node")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm._util import batch, filesystem, fold_of, scratch, tasks, texts, written
+from tidewell.sources.package import in_batches
 
 #: Tokens that a worker counts, or scores, at a time.
 FLUSH = 2_000_000
@@ -223,7 +224,7 @@ def pair_keys(numbers: np.ndarray, end: int, begin: int) -> tuple[np.ndarray, np
 def reduced(df: DataFrame, parts: int, reduce, name: str) -> DataFrame:
     """One output row for each part, from its blobs in one task."""
     out = "part int, path string, n long, kind string, numbers array<long>, sums array<struct<part: int, what: int, blob: binary>>"
-    return written(df.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reduce, out), name)
+    return written(df.repartition(parts, "part").sortWithinPartitions("part").transform(in_batches, reduce, out), name)
 
 
 REDUCED = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("kind", pa.string()), ("numbers", pa.list_(pa.int64())), ("sums", pa.list_(pa.struct([("part", pa.int32()), ("what", pa.int32()), ("blob", pa.binary())])))])
@@ -273,7 +274,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
             keys, n = merged(held[0])
             yield batch([(part, save(folder, f"words-{part}", keys, n.astype(np.int64)), len(keys), "i8", [int(n.sum())], [])], REDUCED)
 
-    words = reduced(rows.mapInArrow(count_words, BLOBS), parts, merge_words, "words").collect()  # one row for each part
+    words = reduced(rows.transform(in_batches, count_words, BLOBS), parts, merge_words, "words").collect()  # one row for each part
     vocabulary = table(words, edges, ["u8", "i8"])
     n_words = sum(n for _, n in vocabulary.files)
     if n_words >= UNKNOWN - 2:
@@ -305,7 +306,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
             kind = "u2" if n.max() < 1 << 16 else "u4" if n.max() < 1 << 32 else "u8"
             yield batch([(part, save(folder, f"pairs-{part}", keys, n.astype(kind)), len(keys), kind, counted_of_counts(n), sums)], REDUCED)
 
-    found = reduced(rows.mapInArrow(count_pairs, BLOBS), parts, merge_pairs, "pairs")
+    found = reduced(rows.transform(in_batches, count_pairs, BLOBS), parts, merge_pairs, "pairs")
     pairs = found.select("part", "path", "n", "kind", "numbers").collect()  # one row for each part
     widest = max((r["kind"] for r in pairs), default="u2")
 
@@ -371,7 +372,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             base = np.log10((count + 1) / (n + 1 * (v + 1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int64()), add((count > 0).astype(np.int64)), pa.array([n] * len(rows), pa.int64()), add(base), add(np.log10(p))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:

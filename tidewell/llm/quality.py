@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._util import fold_of, slices, strings
 from tidewell.llm.text_linear import BITS, FITTED_ROWS, Adam, Incidence, WordScores, labelled_sample, sigmoid
+from tidewell.sources.package import in_batches
 
 GRAMS = (1, 3)
 #: The mean over words is multiplied by this, so that weights stay near 1.
@@ -113,7 +114,7 @@ def selected(docs: DataFrame, model: Model, cut: int | None = None, at_least: fl
         for b in (part for whole in batches for part in slices(whole)):
             yield b.filter(pa.array(_tail(_tails(strings(b.column("text")), known, thresholds), grades, cut) >= at_least))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.transform(in_batches, select, docs.schema)
 
 
 def scored(docs: DataFrame, model: Model, cut: int | None = None, at_least: float = 0.5, folds: int = 5) -> DataFrame:
@@ -130,5 +131,5 @@ def scored(docs: DataFrame, model: Model, cut: int | None = None, at_least: floa
             expected = grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(grades[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), pa.array(_tail(tails, grades, cut))], ["doc_id", "expected_grade", "tail_probability"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, expected_grade double, tail_probability double")
+    found = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, score, "doc_id long, expected_grade double, tail_probability double")
     return found.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= at_least).alias("selected"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._util import fold_of, slices, strings
 from tidewell.llm.text_linear import BITS, FITTED_ROWS, Adam, Incidence, WordScores, labelled_sample, sigmoid
+from tidewell.sources.package import in_batches
 
 GRAMS = (3, 5)
 #: Features with a smaller log ratio, or in fewer words of the training documents, are left out.
@@ -79,7 +80,7 @@ def civil(docs: DataFrame, model: Model) -> DataFrame:
         for b in (part for whole in batches for part in slices(whole)):
             yield b.filter(pa.array(_scores(strings(b.column("text")), known, bias) < 0.5))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.transform(in_batches, select, docs.schema)
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
@@ -92,5 +93,5 @@ def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
         for b in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(strings(b.column(1)), known, bias))], ["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
+    found = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, score, "doc_id long, score double")
     return found.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

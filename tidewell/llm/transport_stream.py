@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm._util import parts, texts
+from tidewell.sources.package import in_batches
 
 PACKET, BODY, PES = 188, 184, 32 * 1024
 PAT_PID, PMT_PID, MEDIA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -172,7 +173,7 @@ def mux(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for b in batches:
             yield from parts(((k, len(x), mux_bytes(padded(x))) for k, x in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)), schema)
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(store, f"{key} long, n_bytes long, media binary")
+    return docs.select(F.col(key).cast("long"), text).transform(in_batches, store, f"{key} long, n_bytes long, media binary")
 
 
 def demux(media: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def demux(media: DataFrame) -> DataFrame:
             made = ((*row[:-1], *demux_bytes(row[-1])) for row in own)
             yield from parts(((*r[:-2], [{"pts": p, "position": q} for p, q in r[-2]], r[-1]) for r in made), schema)
 
-    return media.mapInArrow(load, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", " + FEATURES)
+    return media.transform(in_batches, load, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", " + FEATURES)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm._util import batch, filesystem, scratch, tasks, written
+from tidewell.sources.package import in_batches
 
 BLOCK = 128
 #: Index lines hold a key, a tab and numbers; control characters of a key become ``%``.
@@ -155,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
             index_out.close()
         yield batch(rows, pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("archive_start", pa.int64()), ("archive_end", pa.int64()), ("index_file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())]))
 
-    return written(ordered(pages, min_revisit).mapInArrow(write, DIRECTORY), "warc-directory")
+    return written(ordered(pages, min_revisit).transform(in_batches, write, DIRECTORY), "warc-directory")
 
 
 def _range(cache: dict, uri: str, start: int, length: int) -> bytes:
@@ -187,7 +188,7 @@ def scan(directory: DataFrame, payloads: bool = True) -> DataFrame:
                 yield batch(rows, schema)
 
     n = tasks(directory.sparkSession)
-    return directory.repartition(n, "archive", "start").mapInArrow(load, RECORDS)
+    return directory.repartition(n, "archive", "start").transform(in_batches, load, RECORDS)
 
 
 def lookup(directory: DataFrame, keys: list[str]) -> list[dict]:
