@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm._util import batch, strings, tasks, written
-from tidewell.llm.token_counts import LETTER, NUMBER, REMEMBERED, SPACE, tokenizer
+from tidewell.llm.token_counts import LETTER, NUMBER, SPACE, Merged, tokenizer
+from tidewell.sources.package import in_batches
 
 #: The pre-tokens of lower-cased text; white space separates and is dropped.
 WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
@@ -36,23 +37,14 @@ BEYOND = re.compile("[^\x00-įı-ſ]")
 END = 1
 
 
-class Ids(dict):
-    """Pre-token to its ids as little-endian 32-bit numbers."""
-
-    def __init__(self, tok):
-        self.tok = tok
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.tok.encode(piece, add_special_tokens=False).ids
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+def ids_of(tokens: list) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
 
 @functools.lru_cache(maxsize=2)
-def remembered(path: str) -> Ids:
-    return Ids(tokenizer(path))
+def remembered(path: str) -> Merged:
+    return Merged(tokenizer(path), ids_of)
 
 
 class Encoder:
@@ -83,7 +75,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int, with_ids: bool = False)
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + (part,) * with_ids)
             yield batch(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def length_patterns(counts: np.ndarray, room: int, tries: int = 12) -> list[tuple[int, ...]]:
@@ -228,7 +220,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, room: int = 4096) ->
                 sequence[own], offset[own] = base[run] + rank[own] - first[run], at[run]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked(cut, tasks(spark)).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(cut, tasks(spark)).transform(in_batches, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_vocabulary() -> str:

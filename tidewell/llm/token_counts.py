@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm._util import strings
+from tidewell.sources.package import in_batches
 
 # The classes letter, number and white space of the code points up to U+024F.
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -30,8 +31,18 @@ NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\\t\\n\\x0b\\x0c\\r \x85\xa0"
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile("[^\x00-ɏ]")
-#: Distinct merged pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct merged pre-tokens in each of the two generations that a worker remembers.
+REMEMBERED = 300_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it shows, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,22 +64,28 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 class Merged(dict):
-    """Pre-token to its number of tokens; the library is asked once for each."""
+    """Pre-token to what ``of`` makes of its merged tokens; the library's model is asked once for each.
+
+    When a generation is full it becomes the old one, from which words still in use are taken over.
+    """
 
-    def __init__(self, tok: Tokenizer):
-        self.tok = tok
+    def __init__(self, tok: Tokenizer, of: Callable[[list], object]):
+        self.model, self.of, self.old = tok.model, of, {}
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str):
+        if (found := self.old.get(piece)) is None:
+            found = self.of(self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS)))
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        n = self[piece] = len(self.tok.encode(piece, add_special_tokens=False).ids)
-        return n
+        self[piece] = found
+        return found
 
 
 class Counter:
     def __init__(self, path: str):
         self.tok, self.whole = tokenizer(path), whole_tokens(path)
-        self.merged = Merged(self.tok)
+        self.merged = Merged(self.tok, len)
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
 
     def count(self, text: str) -> int:
@@ -91,7 +108,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     thin = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    found = thin.mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long")
+    found = thin.transform(in_batches, count, f"key {kind}, n_bytes long, n_tokens long")
     return found.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
