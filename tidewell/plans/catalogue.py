@@ -81,7 +81,7 @@ def scalar_functions(spark, sf):
     return c.select(scalars.int_div(k, F.lit(7)).alias("truncated"), scalars.floor_div(k, F.lit(7)).alias("floored"), scalars.xor(x, y).alias("differ"), scalars.nand(x, y).alias("nand"), scalars.nor(x, y).alias("nor"), scalars.xnor(x, y).alias("xnor"))
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_nationkey <> 0 THEN 100 // c_nationkey ELSE 0 END AS share, (c_nationkey <> 0 AND 100 // (CASE WHEN c_nationkey = 0 THEN 1 ELSE c_nationkey END) > 10) AS large FROM customer")
+@query("SELECT c_custkey AS k, CAST(CASE WHEN c_nationkey <> 0 THEN 100 // c_nationkey ELSE 0 END AS BIGINT) AS share, (c_nationkey <> 0 AND 100 // (CASE WHEN c_nationkey = 0 THEN 1 ELSE c_nationkey END) > 10) AS large FROM customer")
 def off_path_faults(spark, sf):
     n, hundred = F.col("c_nationkey"), F.lit(100)
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), scalars.choose(n != 0, scalars.int_div(hundred, n), F.lit(0).cast("long")).alias("share"), scalars.both(n != 0, scalars.int_div(hundred, n) > 10).alias("large"))
@@ -111,7 +111,7 @@ def inverted_index(spark, sf):
     return collection.inverted(n, "key", "region").select("region", F.size("key").cast("long").alias("n"), scalars.at(F.col("key"), 0).alias("first"))
 
 
-@query("SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, n_nationkey AS key FROM nation")
+@query("SELECT n_regionkey AS region, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, n_nationkey AS key FROM nation")
 def flattened_groups(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("key"))
     return collection.flattened(collection.inverted(n, "key", "region"), "key", "region")
@@ -216,7 +216,7 @@ def group_sum(spark, sf):
     return Groups(table(spark, sf, "orders"), priority=F.col("o_orderpriority")).agg(amount=total(cents("o_totalprice")))
 
 
-@query("SELECT c_nationkey // 5 AS bucket, max(c_name) AS last_name, max(c_custkey) AS last_key FROM customer GROUP BY ALL")
+@query("SELECT CAST(c_nationkey // 5 AS BIGINT) AS bucket, max(c_name) AS last_name, max(c_custkey) AS last_key FROM customer GROUP BY ALL")
 def group_max(spark, sf):
     return Groups(table(spark, sf, "customer"), bucket=scalars.int_div(F.col("c_nationkey"), F.lit(5))).agg(last_name=largest("c_name", "string"), last_key=largest("c_custkey"))
 
@@ -309,7 +309,7 @@ def option_match(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), v.alias("v")).select("k", kind.match(F.col("v"), default=lambda: F.lit(0).cast("long"), some=lambda x: x + 1).alias("next"))
 
 
-@query("SELECT l_orderkey AS o, l_linenumber AS l, 1000 // l_linenumber AS share FROM lineitem WHERE l_linenumber <> 0")
+@query("SELECT l_orderkey AS o, l_linenumber AS l, CAST(1000 // l_linenumber AS BIGINT) AS share FROM lineitem WHERE l_linenumber <> 0")
 def refined_division(spark, sf):
     @refine.contract(requires={"by": refine.NON_ZERO})
     def share(by):
