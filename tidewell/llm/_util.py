@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Only where the session names none (tests on one machine) a temporary folder stands in.  A path
+    without a scheme is in the session's default store, and is given with its scheme, for workers
+    open files without Spark.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{tempfile.gettempdir()}/tidewell-shared"
+    if "://" not in found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return found.rstrip("/")
 
 
@@ -42,8 +48,10 @@ def tasks(spark: SparkSession) -> int:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store and the path in it for a URI or a plain path."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    """The store and the path in it for a URI, such as s3://, hdfs:// or file:, or a plain path."""
+    if uri.startswith("file:") or "://" not in uri:
+        return pafs.LocalFileSystem(), os.path.abspath(re.sub("^file:/*", "/", uri))
+    return pafs.FileSystem.from_uri(uri)
 
 
 def texts(column: pa.Array) -> list[bytes]:
