@@ -97,6 +97,34 @@ def test_linked_sets_share_enough_contents():
                 assert any(len(shared[x][b][1] & shared[y][b][1]) >= max(1, min(shared[x][b][0], shared[y][b][0])) for b in bands)
 
 
+def test_links_through_nodes_that_are_out(spark):
+    hashes, fresh = jj.Hashes(), (f"w{k}" for k in range(1_000_000))
+    edges = jj.ranges(2 * jj.band_of(30)[2] * 20 // 180 + 2)
+    n = len(edges)
+
+    def word(part):
+        return next(w for w in fresh if np.searchsorted(edges, jj.shingles(w.encode(), 1, hashes)[0], "right") - 1 == part)
+
+    def node(words):
+        return jj.node_of(jj.shingles(" ".join(words).encode(), 1, hashes))
+
+    base = [[word(p) for _ in range(3)] for p in range(n)]
+    pair = [sum(base, []), sum(base, [])]
+    pair[1][0] = word(0)
+    tasks = []
+    for own in pair:  # in each task, every content of the pair has a lesser node with which the task's own shares nothing else
+        held = [own]
+        for p in range(n):
+            while node(other := [w for q in range(n) for w in (own[3 * p : 3 * p + 3] if p == q else [word(q) for _ in range(3)])]) >= min(map(node, pair)):
+                pass
+            held.append(other)
+        tasks.append(held)
+    rows = [(k, " ".join(w)) for k, w in enumerate(sum(tasks, []))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    want = plain(rows, 1, 80)
+    assert [c for d, _, c in want if d != c] == [0] and sorted(map(tuple, jj.groups(df, 1, 80).collect())) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]

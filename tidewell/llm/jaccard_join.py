@@ -5,7 +5,8 @@ shingles; so hash space is cut into a few more ranges than that (how many follow
 band), and linked nodes agree on the whole content of at least ``need`` ranges.  The contents'
 hashes are counted in one shuffle, pre-aggregated by the readers: of equal hashes in what a task
 reads, one node goes on and the others are tied to it.  Nodes with too few shared contents are
-out; the ties of the rest give candidate groups, without a row for each pair.
+out; the ties of the rest, and of the nodes to which these are tied, give candidate groups, without
+a row for each pair: through a node that is out itself, nodes of different readers still meet.
 
 A group is searched in blocks of bounded size by T-occurrence: each block has inverted lists of
 whole shingle sets; for a query the longest lists are set aside, the short ones merged by a heap,
@@ -285,7 +286,10 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     found = written(ties(docs, width, percent, parts), "ties")
     alive = found.groupBy("node", "up").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).filter("hits >= need").select("node").distinct()
     alive = written(alive, "alive")
-    kept = found.select("node", "center").distinct().join(alive, "node").filter("node <> center")
+    tied = found.select("node", "center").distinct()
+    # A reader sends on only its run's center; what is tied to it meets other readers' nodes through the center's own ties.
+    carried = alive.unionByName(tied.join(alive, "node").select(F.col("center").alias("node"))).distinct()
+    kept = tied.join(carried, "node").filter("node <> center")
     grouped = components(kept.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "grp").join(alive, "node")
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = grouped.join(sizes, "grp").withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(4 * F.col("n") / (3 * BLOCK))).cast("long"))
