@@ -55,6 +55,33 @@ def test_leaks_equal_trying_every_window(spark):
         assert r["similarity"] == pytest.approx(weighted(split(dict(docs)[r["doc_id"]]), split(dict(items)[r["item_id"]])))
 
 
+def sliding(a, b):
+    """As ``weighted``, with a window at every start."""
+
+    def bag(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    size = lambda s: sum(min(255, 10 + sum(map(len, g))) for g in s)
+    item, found = bag(b), [bag(a[start : start + len(b)]) for start in range(max(1, len(a) - len(b) + 1))]
+    return max(size(own & item) / size(own | item) for own in found)
+
+
+def test_windows_at_every_start_are_tried(spark):
+    docs, items = [], [(1, " ".join(ITEM)), (2, " ".join(OTHER))]
+    for k in range(60):  # the passage lacks its first or last words, and long words stand on one side
+        own, gone = (ITEM, OTHER)[k % 2], 2 + k // 2 % 6
+        own = own[gone:] if k % 4 < 2 else own[: len(own) - gone]
+        docs.append((k, " ".join(["longwordsstandhere" + w for w in words(9, k)] + own + words(9, k + 99)) if k % 4 < 2 else " ".join(words(9, k) + own + ["longwordsstandhere" + w for w in words(9, k + 99)])))
+    docs += [(k + 100, t[: len(t) // 2] + " " + t) for k, t in docs]
+    want = {(d, i) for d, t in docs for i, u in items if sliding(t.split(), u.split()) >= 0.8}
+    assert want - {(d, i) for d, t in docs for i, u in items if weighted(t.split(), u.split()) >= 0.8}
+    got = dc.leaks(*frames(spark, docs, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    for r in got:
+        at, item = r["start"], dict(items)[r["item_id"]].split()
+        assert r["similarity"] == pytest.approx(sliding(dict(docs)[r["doc_id"]].split()[at : at + len(item)], item))
+
+
 def test_edge_cases(spark):
     text = " ".join(ITEM)
     docs = [(1, None), (2, ""), (3, "a b c"), (4, text.title()), (4, text), (4, "nothing here at all to see"), (None, text), (5, "a b c d " + text[:20]), (6, ("filler " * 30_000) + text + " end")]

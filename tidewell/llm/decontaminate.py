@@ -2,8 +2,9 @@
 
 Texts and items become lower-cased words of letters and digits and their five-word shingles.  A
 shingle is one long: a hash whose low eight bits give way to its weight, which grows with the
-letters of its words.  Every place where a document has a shingle of an item sets an item-sized
-window, aligned as that shingle is in the item; a window that shares none has similarity 0.  The
+letters of its words.  Item-sized windows are tried at every start, but where the places that hold
+a shingle of an item of that size weigh too little together for a leak of any such item, which is
+an exact bound.  Of the windows that leak, one aligned with a shared shingle is reported first.  The
 windows' SimHash fingerprints meet the items' of the same size by multi-index blocks: with
 ``RADIUS`` + 1 blocks, fingerprints within the radius agree on at least one.  The pairs left are
 verified by exact weighted Jaccard similarity of their shingle sets.
@@ -59,15 +60,32 @@ def blocks(fingerprint: str) -> str:
     return f"array({made})"
 
 
+#: SQL for the starts of the windows that hold enough of the sorted ``places``; each is tried at its first place only,
+#: and no more places than a window has shingles can be in it.
+STARTS = f"""
+flatten(transform(places, (p, i) -> filter(
+  if(greatest(shiftright(p, 8) - size + {WORDS}, if(i = 0, 0L, shiftright(get(places, i - 1), 8) + 1), 0L) <= least(shiftright(p, 8), greatest(0, n_words - size)),
+    transform(sequence(greatest(shiftright(p, 8) - size + {WORDS}, if(i = 0, 0L, shiftright(get(places, i - 1), 8) + 1), 0L), least(shiftright(p, 8), greatest(0, n_words - size))), t -> cast(t AS int)),
+    array()),
+  t -> 100 * aggregate(slice(places, i + 1, size), 0L, (sum, q) -> sum + if(shiftright(q, 8) <= t + size - {WORDS}, q & 255L, 0L)) >= least)))
+"""
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start (in words) and n_words of the best window, for every leak."""
+    """doc_id, item_id, similarity, start (in words) and n_words of the best window, for every leak.
+
+    A window aligned with a shared shingle goes before all others that leak, even more similar ones.
+    """
     spark = docs.sparkSession
     items = shingled(benchmark.select(F.col("item_id").cast("long"), "text")).distinct()
     items = items.withColumn("bag", F.array_distinct("shingles")).withColumns({"fingerprint": F.expr(simhash("bag")), "weight": F.expr(weight("bag"))})
     items = written(items, "items")
     placed = items.select("item_id", F.col("n_words").alias("size"), F.posexplode("shingles").alias("item_at", "shingle"))
     # One row for each shingle and place; the alignment needs no more of the item than its size.
-    placed = written(placed.select("shingle", "size", "item_at").distinct(), "placed")
+    placed = placed.select("shingle", "size", "item_at").distinct()
+    # A leak's window has so much weight in common with an item, at least.
+    least = items.filter("n_words >= 5").groupBy(F.col("n_words").alias("size")).agg((LEAST * F.min("weight")).alias("least"))
+    placed = written(placed.join(least, "size").select("shingle", "size", "item_at", "least"), "placed")
     if placed.count() <= SENT_SHINGLES:
         placed = F.broadcast(placed)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -75,13 +93,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # The outer form: of the plain one the optimizer infers a filter that computes every shingle anew.
     seen = shingled(marked).select("doc_id", "text_hash", "n_words", F.posexplode_outer("shingles").alias("at", "shingle"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n_words") - F.col("size")))
-    windows = seen.join(placed, "shingle").select("doc_id", "text_hash", "size", start.cast("int").alias("start"))
-    windows = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
+    # A place and its weight are one long.
+    place = F.col("at").cast("long") * 256 + F.col("shingle").bitwiseAND(F.lit(255))
+    windows = seen.join(placed, "shingle").select("doc_id", "text_hash", "n_words", "size", "least", start.cast("int").alias("start"), place.alias("place"))
+    aligned, places = F.collect_set("start").alias("aligned"), F.array_sort(F.collect_set("place")).alias("places")
+    windows = windows.groupBy("doc_id", "text_hash", "n_words", "size", "least").agg(aligned, places)
+    windows = windows.filter(f"100 * {weight('places')} >= least").withColumn("starts", F.expr(STARTS)).filter("size(starts) > 0")
+    window = F.struct("size", F.expr("transform(starts, s -> struct(s AS start, array_contains(aligned, s) AS aligned))").alias("starts"))
+    windows = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(window).alias("windows"))
+    windows = windows.withColumn("windows", F.expr("flatten(transform(windows, x -> transform(x.starts, s -> struct(x.size AS size, s.start AS start, s.aligned AS aligned))))"))
     windows = windows.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "windows")
     hit = marked.join(windows, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
     cut = shingled(hit.select("doc_id", "windows", "text")).select("doc_id", "shingles", F.explode("windows").alias("window"))
     bag = F.array_distinct(F.expr(f"slice(shingles, window.start + 1, window.size - {WORDS - 1})"))
-    cut = cut.select("doc_id", "window.size", "window.start", bag.alias("bag"))
+    cut = cut.select("doc_id", "window.size", "window.start", "window.aligned", bag.alias("bag"))
     cut = cut.withColumns({"fingerprint": F.expr(simhash("bag")), "weight": F.expr(weight("bag"))})
     cut = written(cut, "windows")
     # Fingerprints that many windows share are searched once.
@@ -93,8 +118,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = cut.join(near.join(sides, ["size", "item_fingerprint"]), ["size", "fingerprint"])
     pairs = pairs.withColumn("common", F.expr(weight("array_intersect(bag, item_bag)")))
     either = F.col("weight") + F.col("item_weight") - F.col("common")
-    found = pairs.filter(100 * F.col("common") >= LEAST * either).select("doc_id", "item_id", (F.col("common") / either).alias("similarity"), "start", F.col("size").alias("n_words"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words")).alias("best")
+    found = pairs.filter(100 * F.col("common") >= LEAST * either).select("doc_id", "item_id", "aligned", (F.col("common") / either).alias("similarity"), "start", F.col("size").alias("n_words"))
+    best = F.max(F.struct("aligned", "similarity", (-F.col("start")).alias("start"), "n_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), "best.n_words")
 
 
