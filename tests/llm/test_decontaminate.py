@@ -95,6 +95,12 @@ def test_edge_cases(spark):
     assert dc.leaks(rows, bench.filter("false")).count() == 0 and dc.clean(rows, bench.filter("false")).count() == len(docs)
 
 
+def test_rows_without_an_id_go_by_their_own_texts(spark):
+    text = " ".join(ITEM)
+    rows, bench = frames(spark, [(None, text), (None, "nothing here at all to see"), (None, None), (1, text), (2, "a b c")], [(7, text)])
+    assert sorted(map(str, (r["text"] for r in dc.clean(rows, bench).collect()))) == ["None", "a b c", "nothing here at all to see"]
+
+
 def test_all_fingerprints_within_the_radius_meet(spark):
     rng = random.Random(3)
     rows = []

@@ -71,11 +71,8 @@ flatten(transform(places, (p, i) -> filter(
 """
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start (in words) and n_words of the best window, for every leak.
-
-    A window aligned with a shared shingle goes before all others that leak, even more similar ones.
-    """
+def leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, aligned, similarity, start and n_words of every window that leaks."""
     spark = docs.sparkSession
     items = shingled(benchmark.select(F.col("item_id").cast("long"), "text")).distinct()
     items = items.withColumn("bag", F.array_distinct("shingles")).withColumns({"fingerprint": F.expr(simhash("bag")), "weight": F.expr(weight("bag"))})
@@ -104,9 +101,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.withColumn("windows", F.expr("flatten(transform(windows, x -> transform(x.starts, s -> struct(x.size AS size, s.start AS start, s.aligned AS aligned))))"))
     windows = windows.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "windows")
     hit = marked.join(windows, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
-    cut = shingled(hit.select("doc_id", "windows", "text")).select("doc_id", "shingles", F.explode("windows").alias("window"))
+    cut = shingled(hit.select("doc_id", "text_hash", "windows", "text")).select("doc_id", "text_hash", "shingles", F.explode("windows").alias("window"))
     bag = F.array_distinct(F.expr(f"slice(shingles, window.start + 1, window.size - {WORDS - 1})"))
-    cut = cut.select("doc_id", "window.size", "window.start", "window.aligned", bag.alias("bag"))
+    cut = cut.select("doc_id", "text_hash", "window.size", "window.start", "window.aligned", bag.alias("bag"))
     cut = cut.withColumns({"fingerprint": F.expr(simhash("bag")), "weight": F.expr(weight("bag"))})
     cut = written(cut, "windows")
     # Fingerprints that many windows share are searched once.
@@ -118,12 +115,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = cut.join(near.join(sides, ["size", "item_fingerprint"]), ["size", "fingerprint"])
     pairs = pairs.withColumn("common", F.expr(weight("array_intersect(bag, item_bag)")))
     either = F.col("weight") + F.col("item_weight") - F.col("common")
-    found = pairs.filter(100 * F.col("common") >= LEAST * either).select("doc_id", "item_id", "aligned", (F.col("common") / either).alias("similarity"), "start", F.col("size").alias("n_words"))
+    return pairs.filter(100 * F.col("common") >= LEAST * either).select("doc_id", "text_hash", "item_id", "aligned", (F.col("common") / either).alias("similarity"), "start", F.col("size").alias("n_words"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start (in words) and n_words of the best window, for every leak.
+
+    A window aligned with a shared shingle goes before all others that leak, even more similar ones.
+    """
+    found = leaking(docs, benchmark)
     best = F.max(F.struct("aligned", "similarity", (-F.col("start")).alias("start"), "n_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), "best.n_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document has no leak; rows with a null doc_id are judged together."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` whose document has no leak; each row with a null doc_id is a document of its own."""
+    bad = leaking(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("_text")).distinct()
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & own.eqNullSafe(F.col("_text")), "left_anti")
