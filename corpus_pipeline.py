@@ -7,7 +7,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, jaccard_join, packing, quality, toxicity
@@ -30,17 +30,22 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of the documents that links connect (five words, 0.8), the one with the smallest doc_id stays.
 
-    Documents without words, and rows with a null doc_id, link with nothing and stay; of rows that
-    repeat a doc_id one stays.
+    Documents without words, and rows with a null doc_id, link with nothing and stay.  Rows that
+    repeat a doc_id are judged by their own texts; of those that repeat the text, too, one stays, and
+    of an id's linked texts the one with the smallest hash.
     """
-    found = written(jaccard_join.groups(docs, width=5, percent=80).filter("doc_id is not null"), "groups")
+    found = written(jaccard_join.labelled(docs, width=5, percent=80).filter("doc_id is not null"), "groups")
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
     # Dropped documents grow with the corpus, so texts and they meet by a shuffle at every size.
     dropped = gone.filter("least < doc_id").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    own = F.col("doc_id").cast("long") == F.col("_id")
     if gone.filter("n > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        return docs.join(dropped.hint("merge"), own, "left_anti")
+    texts = found.select("doc_id", "text_hash", "root", "component_id").distinct()
+    first = F.min("text_hash").over(Window.partitionBy("doc_id", F.coalesce("root", "text_hash")))
+    dropped = texts.withColumn("first", first).filter("component_id < doc_id or text_hash > first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(dropped.hint("merge"), own & (F.col("_text") == F.col("_hash")), "left_anti")
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_text"]).unionByName(kept.filter("doc_id is null")).drop("_text")
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_run_equals_its_stages(spark):
     assert sorted(map(key, cp.run(spark, SMALL).collect())) == sorted(map(key, docs.collect()))
 
 
+def test_repeated_ids_with_other_texts(spark):
+    near = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, near), (2, near), (2, "quite other words than those of row one"), (2, None), (2, ""), (3, "p q r s t u"), (3, "v w x y z a"), (3, "v w x y z a"), (4, near[::-1]), (4, near[::-1] + " end"), (None, near)]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    got = cp.keep_distinct(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(left) == 8 and sum(d == 4 for d, _ in left) == 1
+    assert sorted((x for x in left if x[0] != 4), key=str) == sorted([rows[0], *rows[2:7], rows[10]], key=str)
+
+
 def test_odd_rows(spark):
     docs = read(spark, SMALL, "documents")
     extra = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (None, "one two three four five six", "en", "s", 0), (-3, "same words here in this row", None, None, None), (-3, "same words here in this row", None, None, None)], docs.schema)

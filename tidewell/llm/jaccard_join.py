@@ -356,25 +356,30 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row.
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row."""
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ``groups``, with text_hash and root, a number of the row's component (null without words).
 
     Two documents link when 100 * |common shingles| >= ``percent`` * |shingles of either|.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent from 50 to 100")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in (part for whole in batches for part in slices(whole)):
             sets = [shingles(x, width, hashes) for x in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()), b.column(2)], ["doc_id", "n_shingles", "node", "text_hash"])
 
-    meta = written(docs.transform(in_batches, measure, "doc_id long, n_shingles long, node long"), "sets")
+    meta = written(docs.transform(in_batches, measure, "doc_id long, n_shingles long, node long, text_hash long"), "sets")
     least = meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = components(links(docs.filter("doc_id is not null"), meta.filter("doc_id is not null"), width, percent))
     named = roots.join(least, "node")
     label = named.groupBy("root").agg(F.min("least").alias("label"))
-    by_node = least.join(named.join(label, "root").select("node", "label"), "node", "left").select("node", F.coalesce("label", "least").alias("label"))
+    by_node = least.join(named.join(label, "root").select("node", "label", "root"), "node", "left").select("node", F.coalesce("label", "least").alias("label"), "root")
     found = meta.join(by_node, "node", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    return found.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
