@@ -125,6 +125,12 @@ def test_links_through_nodes_that_are_out(spark):
     assert [c for d, _, c in want if d != c] == [0] and sorted(map(tuple, jj.groups(df, 1, 80).collect())) == want
 
 
+def test_links_over_several_bands(spark):
+    rows = [(10 * n + m, " ".join(f"{n}x{k}" for k in range(m))) for n in (1, 3, 7, 10, 16) for m in (n, 2 * n)]
+    want = plain(rows, 1, 50)
+    assert sum(d != c for d, _, c in want) == 5 and found(spark, rows, 1, 50) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]

@@ -89,7 +89,7 @@ def ranges(parts: int) -> np.ndarray:
 
 
 def contents(own: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(up, need, content hashes) for the set's own band and, if a partner can be in it, the next one.
+    """(up, need, content hashes) for the set's own band and, as far as a partner can be there, the next ones.
 
     ``need``: so many of the hashes a linked node of that band shares, at least.
     """
@@ -97,8 +97,10 @@ def contents(own: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarr
     most = 100 * n // percent
     number, _, high = band_of(n)
     sums = np.concatenate([[U8(0)], np.cumsum(mixed(own ^ U8(0x5851F42D4C957F2D)), dtype=U8)])
-    for up in range(2 if most > high else 1):
-        high = band_of(high + 1)[2] if up else high
+    highs = [high]
+    while most > highs[-1]:
+        highs.append(band_of(highs[-1] + 1)[2])
+    for up, high in enumerate(highs):  # at most 3, for ``percent`` is at least 50
         differ = (n + min(most, high)) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only an equal set can link
@@ -114,11 +116,11 @@ def contents(own: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarr
 
 def _ties(node: np.ndarray, center: np.ndarray, info: np.ndarray, hits: np.ndarray) -> bytes:
     """Distinct (node, up, center) with their hits summed."""
-    order = np.lexsort((info & 1, center, node))
+    order = np.lexsort((info & 3, center, node))
     node, center, info, hits = node[order], center[order], info[order], hits[order]
-    new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (center[1:] != center[:-1]) | ((info[1:] ^ info[:-1]) & 1 > 0)]))
+    new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (center[1:] != center[:-1]) | ((info[1:] ^ info[:-1]) & 3 > 0)]))
     out = np.zeros(len(new), TIE)
-    out["node"], out["center"], out["need"], out["up"] = node[new], center[new], info[new] >> 1, info[new] & 1
+    out["node"], out["center"], out["need"], out["up"] = node[new], center[new], info[new] >> 2, info[new] & 3
     out["hits"] = np.add.reduceat(hits, new)
     return out.tobytes()
 
@@ -167,7 +169,7 @@ def ties(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
                     continue
                 seen.add(node)
                 for up, need, keys in contents(own, percent):
-                    held.append((keys, node, need << 1 | up))
+                    held.append((keys, node, need << 2 | up))
                     size += len(keys)
                 if size >= FLUSH:
                     yield batch(flush(), BLOB_SCHEMA)
