@@ -32,12 +32,16 @@ def disjoint_union(key: str, *arms: DataFrame) -> DataFrame:
 
 
 def choose(condition: bool | Column, then: DataFrame, otherwise: DataFrame) -> DataFrame:
-    """One collection or the other.  A condition known now picks one; a column gates each arm's rows."""
+    """One collection or the other.  A condition known now picks one; a column gates each arm's rows.
+
+    A null condition is not true, so the row is the other arm's.
+    """
     if isinstance(condition, bool):
         return then if condition else otherwise
     if then.schema.fieldNames() != otherwise.schema.fieldNames():
         raise ValueError("both arms must have the same fields")
-    return then.filter(condition).unionByName(otherwise.filter(~condition))
+    holds = F.coalesce(condition, F.lit(False))
+    return then.filter(holds).unionByName(otherwise.filter(~holds))
 
 
 class Feed:

@@ -67,8 +67,14 @@ def scalar(df: DataFrame, column: str):
 
 
 def with_scalar(df: DataFrame, one: DataFrame, **names: str) -> DataFrame:
-    """``df`` with values of a one-row collection beside each row; names: new=column."""
-    return df.crossJoin(F.broadcast(one.select(*(F.col(v).alias(k) for k, v in names.items())).limit(1)))
+    """``df`` with values of a one-row collection beside each row; names: new=column.
+
+    Any other number of rows is a fault when the query runs.
+    """
+    counted = one.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*(F.col(v).alias(k) for k, v in names.items()))).alias("_one"))
+    wrong = F.raise_error(F.concat(F.col("_n").cast("string"), F.lit(" rows where one was meant")))
+    checked = counted.select(F.when(F.col("_n") == 1, F.col("_one")).otherwise(wrong.cast(counted.schema["_one"].dataType)).alias("_one"))
+    return df.crossJoin(F.broadcast(checked)).select(*(df[c] for c in df.columns), *(F.col(f"_one.`{k}`").alias(k) for k in names))
 
 
 def inverted(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -78,7 +78,7 @@ def scan(df: DataFrame, order: list[str], init: dict, step: Callable, output: st
 
     keys = T.StructType([df.schema[c] for c in by])
     full = pa.schema([*to_arrow_schema(keys), *arrow]) if by else arrow
-    dealt = df.repartition(*by) if by else df.coalesce(1)
+    dealt = df.repartition(*by) if by else df.repartition(1)
     return dealt.sortWithinPartitions(*by, *order).transform(in_batches, run, T.StructType([*keys.fields, *schema.fields]))
 
 

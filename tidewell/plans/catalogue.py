@@ -15,6 +15,7 @@ from tidewell.operators.aggregate import least as smallest
 from tidewell.operators.comprehend import Comprehension, generator
 from tidewell.operators.transact import Transactions
 from tidewell.plans.text import Text
+from tidewell.sources.shared import shared_path
 from tidewell.sources.tables import arriving, table
 from tidewell.streaming import live
 
@@ -415,10 +416,10 @@ CASE WHEN e.buys AND f.purse >= e.cents THEN f.bought + 1 ELSE f.bought END, CAS
 """
 
 
-@query(TXN_SQL + "SELECT user_id, max_by(purse, n) AS purse, max_by(bought, n) AS bought FROM f GROUP BY user_id HAVING max(tick) > 0")
+@query(TXN_SQL + "SELECT user_id, max_by(purse, n) AS purse, max_by(bought, n) AS bought FROM f GROUP BY user_id")
 def txn_final_balance(spark, sf):
     store = _purse(spark, sf)
-    log = store.log()
+    log = store.committed()
     return store.await_final("purse", log).join(store.await_final("bought", log), "user_id")
 
 
@@ -439,7 +440,7 @@ def txn_independent_stores(spark, sf):
     store = Transactions({"pool": ("long", 100), "seen": ("long", 0)})
     r = table(spark, sf, "region")
     store.writer(r, "r_regionkey", ["pool"], take).writer(r, "r_regionkey", ["pool"], take).writer(table(spark, sf, "nation"), "n_nationkey", ["seen"], see)
-    log = store.log()
+    log = store.committed()
     return store.await_final("pool", log).crossJoin(store.await_final("seen", log))
 
 
@@ -509,3 +510,21 @@ def stream_running_state(spark, sf):
         return state["n"], state["acc"]
 
     return live.drained(live.stateful(e, ["user_id"], ["ts", "event_id"], {"n": 0, "acc": 0}, step, "n long, acc long", "n long, acc long"))
+
+
+@query(FOLD_SQL + "SELECT user_id, CAST(n AS BIGINT) AS n, CAST(acc AS BIGINT) AS acc FROM f")
+def stream_shuffled_batches(spark, sf):
+    """As ``stream_running_state``, with the rows in four files of any order, one for each micro-batch."""
+    e = table(spark, sf, "events").withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1)
+    folder = shared_path(spark, "shuffled")
+    dealt = e.select("user_id", "at", cents("value").alias("cents"))
+    dealt.repartition(4, F.xxhash64("user_id", "at")).write.parquet(folder)
+    rows = arriving(spark, folder, dealt.schema, files_at_once=1)
+
+    def step(state, row):
+        state["n"] += 1
+        if state["acc"] + row["cents"] <= CAP:
+            state["acc"] += row["cents"]
+        return state["n"], state["acc"]
+
+    return live.drained(live.stateful(rows, ["user_id"], ["at"], {"n": 0, "acc": 0}, step, "n long, acc long", "n long, acc long", position="at"))

@@ -6,6 +6,7 @@ stream is drained, when an aggregate is published, and where running state lives
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,29 +47,59 @@ def bounded_join(left: DataFrame, right: DataFrame, condition: Column, left_time
     return left.join(right, condition, "inner")
 
 
-def stateful(stream: DataFrame, by: list[str], order: list[str], init: dict, step: Callable, state: str, output: str) -> DataFrame:
+def stateful(stream: DataFrame, by: list[str], order: list[str], init: dict, step: Callable, state: str, output: str, position: str | None = None, time: str | None = None, lateness: str | None = None) -> DataFrame:
     """Running output of a fold over a stream, by key: ``step(state, row)`` as in ``operators.fold.scan``.
 
-    Rows of a micro-batch are folded in ``order``; between batches the state (a schema) is in the state store.
+    Rows may arrive out of order.  What has to wait, waits in the state store, beside the state (a schema):
+
+    * ``position`` names a column that numbers a key's rows 0, 1, 2, ...: a row waits until all before it
+      have come, so the output is that of the ordered fold, whatever the batches.  A number that comes
+      again is taken as a repeat and left out.
+    * ``time`` and ``lateness``: a row waits until the watermark has passed its event time, then goes in
+      ``order``; rows later than that are left out.
+    * with neither, rows of a micro-batch go in ``order``, batch after batch: for sources that deliver in order.
     """
+    if position and time:
+        raise ValueError("order by position or by time, not both")
     fields = T._parse_datatype_string(state).fieldNames()
     keys = T.StructType([stream.schema[c] for c in by])
     made = T._parse_datatype_string(output)
     columns = [*by, *made.fieldNames()]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        own = dict(zip(fields, held.get, strict=True)) if held.exists else dict(init)
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        *own, reached, waiting = held.get if held.exists else (*(init[f] for f in fields), 0, b"")
+        own, rows = dict(zip(fields, own, strict=True)), pickle.loads(waiting) if waiting else []
+        if not held.hasTimedOut:
+            rows += [row for frame in frames for row in frame.to_dict("records")]
+        if position:
+            rows.sort(key=lambda r: r[position])
+            ready, later = [], []
+            for row in rows:
+                if row[position] == reached:
+                    ready.append(row)
+                    reached += 1
+                elif row[position] > reached:
+                    later.append(row)
+        elif time:
+            passed = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
+            ready, later = [r for r in rows if r[time] <= passed], [r for r in rows if r[time] > passed]
+            ready.sort(key=lambda r: [r[c] for c in order])
+        else:
+            ready, later = sorted(rows, key=lambda r: [r[c] for c in order]), []
         out = []
-        for row in rows.to_dict("records"):
+        for row in ready:
             said = step(own, row)
             if said is not None:
                 out.append((*key, *said))
-        held.update(tuple(own[f] for f in fields))
+        held.update((*(own[f] for f in fields), reached, pickle.dumps(later) if later else b""))
+        if time and later:
+            held.setTimeoutTimestamp(int(min(r[time] for r in later).timestamp() * 1000) + 1)
         yield pd.DataFrame(out, columns=columns)
 
     shipped(stream.sparkSession)
-    return stream.groupBy(*by).applyInPandasWithState(run, T.StructType([*keys.fields, *made.fields]), state, "append", GroupStateTimeout.NoTimeout)
+    timed = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    rows = stream.withWatermark(time, lateness) if time else stream
+    return rows.groupBy(*by).applyInPandasWithState(run, T.StructType([*keys.fields, *made.fields]), f"{state}, _reached long, _waiting binary", "append", timed)
 
 
 def replying(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], name: str = "replies") -> None:
