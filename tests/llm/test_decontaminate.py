@@ -101,17 +101,51 @@ def test_rows_without_an_id_go_by_their_own_texts(spark):
     assert sorted(map(str, (r["text"] for r in dc.clean(rows, bench).collect()))) == ["None", "a b c", "nothing here at all to see"]
 
 
+def longs(*values):
+    return tuple(x - (1 << 64) if x >> 63 else x for x in values)
+
+
 def test_all_fingerprints_within_the_radius_meet(spark):
     rng = random.Random(3)
     rows = []
-    for _ in range(200):
-        a, flips = rng.getrandbits(64), rng.sample(range(64), dc.RADIUS)
-        b = a
-        for f in flips:
+    for k in range(400):
+        a, b = (rng.getrandbits(64),) * 2
+        for f in rng.sample(range(64), dc.RADIUS - k % 3):
             b ^= 1 << f
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(rows, "a long, b long").selectExpr(f"arrays_overlap({dc.blocks('a')}, {dc.blocks('b')}) AS met")
-    assert df.filter("not met").count() == 0
+        rows.append(longs(a, b))
+    df = spark.createDataFrame(rows, "a long, b long")
+    met = df.selectExpr(f"size(filter({dc.near_blocks('b')}, x -> array_contains({dc.blocks('a')}, x) AND shiftright(x, 32) = {dc.first_block('(a ^ b)')})) AS n")
+    assert met.filter("n <> 1").count() == 0  # once, at the first block
+
+
+def test_few_of_unrelated_pairs_meet(spark):
+    rng = random.Random(4)
+    mine = spark.createDataFrame([longs(rng.getrandbits(64)) for _ in range(400)], "a long").selectExpr(f"explode({dc.blocks('a')}) AS block")
+    theirs = spark.createDataFrame([longs(rng.getrandbits(64)) for _ in range(200)], "b long").selectExpr(f"explode({dc.near_blocks('b')}) AS block")
+    assert mine.join(theirs, "block").count() < 0.3 * 400 * 200
+
+
+def test_recall_against_every_window(spark):
+    rng, docs, items = random.Random(21), [], []
+    for k in range(25):
+        items.append((k, " ".join(words(rng.randrange(30, 90), 500 + k))))
+    for k in range(500):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], [f"zz{k}"], [own[at], f"yy{k}"]])
+        docs.append((k, " ".join(words(rng.randrange(0, 30), k) + own + words(rng.randrange(0, 30), k + 999))))
+    want = {(d, i) for d, t in docs for i, u in items if sliding(t.split(), u.split()) >= 0.8}
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(*frames(spark, docs, items)).collect()}
+    print("recall", len(got & want) / len(want), "of", len(want))
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = spark.createDataFrame([(1, " ".join(ITEM), 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, _bad long, _row long, _own_id long")
+    bench = spark.createDataFrame([(7, " ".join(ITEM))], "item_id long, text string")
+    kept = dc.clean(rows, bench)
+    assert kept.columns == rows.columns and [tuple(r) for r in kept.collect()] == [(2, "a b c", 5, 6, 7)]
 
 
 def test_large_benchmarks_are_joined_by_shuffle(spark, monkeypatch):

@@ -4,43 +4,44 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Only where the session names none (tests on one machine) a temporary folder stands in.  A path
-    without a scheme is in the session's default store, and is given with its scheme, for workers
-    open files without Spark.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/tidewell-shared"
-    if "://" not in found:
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return found.rstrip("/")
+from tidewell.sources.shared import settled, shared_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; this cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, name)
+
+
+def without(rows: DataFrame, own: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose expressions ``own`` equal, null to null, a row of ``gone`` (columns of the same names).
+
+    What goes may grow with the corpus, so both sides meet by a shuffle at every size.  The rows travel as one
+    struct: none of their columns can clash with the keys.
+    """
+    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), *(v.alias(f"_own_{k}") for k, v in own.items()))
+    gone = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in own)).hint("merge")
+    same = reduce(lambda a, b: a & b, (F.col(f"_own_{k}").eqNullSafe(F.col(f"_gone_{k}")) for k in own))
+    return keyed.join(gone, same, "left_anti").select("_row.*")
+
+
+def spread(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``small``, which holds each key once; a hot key's rows are dealt over ``salts`` tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def tasks(spark: SparkSession) -> int:

@@ -2,31 +2,39 @@
 
 Texts and items become lower-cased words of letters and digits and their five-word shingles.  A
 shingle is one long: a hash whose low eight bits give way to its weight, which grows with the
-letters of its words.  Item-sized windows are tried at every start, but where the places that hold
-a shingle of an item of that size weigh too little together for a leak of any such item, which is
-an exact bound.  Of the windows that leak, one aligned with a shared shingle is reported first.  The
-windows' SimHash fingerprints meet the items' of the same size by multi-index blocks: with
-``RADIUS`` + 1 blocks, fingerprints within the radius agree on at least one.  The pairs left are
-verified by exact weighted Jaccard similarity of their shingle sets.
+letters of its words.  Windows of an item's size slide over every start of a text.  Starts at which
+an exact bound proves that no item of the size can reach the similarity (what the window shares with
+all items of that size together weighs too little) are passed over; all others are fingerprinted by
+SimHash.  The fingerprints meet the items' of the same size through a multi-index: fingerprints are
+cut into ``BLOCKS`` blocks, the windows' blocks are looked up as they are and the items' are stored
+with up to ``FLIPS`` bits turned.  Fingerprints within ``RADIUS`` bits differ by no more than that in
+one block at least, so they always meet, and each pair counts at its first such block alone.  The pairs within the
+radius are verified by the exact weighted Jaccard similarity of their shingle sets.
 
 Edge cases: null and empty texts match nothing; so do items of fewer than five words, which are
-too short to be evidence; a text shorter than an item is one window; rows that repeat a doc_id are
-all searched and give one row per (doc_id, item_id); a null doc_id is reported as null; an empty
-table on either side gives an empty result; other columns of the input are ignored.
+too short to be evidence; a text shorter than an item is one window; very long texts are slid over
+whole; rows that repeat a doc_id are all searched and give one row per (doc_id, item_id); a null
+doc_id is reported as null; of windows that tie the first (smallest start) is reported, windows that
+are aligned with a shared shingle before others; an empty table on either side gives an empty result;
+other columns of the input are ignored by ``leaks`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import written
+from tidewell.llm._util import without, written
 
 WORDS = 5
 #: Least similarity of a leak, in hundredths.
 LEAST = 80
-#: Fingerprints of 64 bits: weighted Jaccard 0.8 is about 10 differing bits, 23 more than four deviations above.
-RADIUS = 23
+#: Blocks of a 64-bit fingerprint, and bits that may be turned in one.
+BLOCKS, FLIPS = 6, 2
+#: Weighted Jaccard 0.8 is about 10 differing bits with a deviation of 2.9.
+RADIUS = (FLIPS + 1) * BLOCKS - 1
 #: Item shingles up to this number (16 bytes each) are sent to every executor; more are joined by shuffle.
 SENT_SHINGLES = 2_000_000
 
@@ -52,12 +60,32 @@ def weight(shingles: str) -> str:
     return f"aggregate({shingles}, 0L, (t, s) -> t + (s & 255L))"
 
 
+def _cuts() -> list[tuple[int, int]]:
+    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _bits(fingerprint: str, a: int, b: int) -> str:
+    return f"(shiftrightunsigned({fingerprint}, {a}) & {(1 << b - a) - 1}L)"
+
+
 def blocks(fingerprint: str) -> str:
-    """SQL for an array of RADIUS + 1 longs: number and bits of each block."""
-    n = RADIUS + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    made = ", ".join(f"{256 * k}L | (shiftrightunsigned({fingerprint}, {a}) & {(1 << b - a) - 1}L)" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
-    return f"array({made})"
+    """SQL for an array of ``BLOCKS`` longs: number and bits of each block."""
+    return f"array({', '.join(f'{k << 32}L | {_bits(fingerprint, a, b)}' for k, (a, b) in enumerate(_cuts()))})"
+
+
+def near_blocks(fingerprint: str) -> str:
+    """SQL for an array of all blocks that differ from the fingerprint's own by up to ``FLIPS`` bits."""
+    made = []
+    for k, (a, b) in enumerate(_cuts()):
+        turned = [sum(1 << x for x in some) for n in range(FLIPS + 1) for some in combinations(range(b - a), n)]
+        made.append(f"transform(array({', '.join(f'{x}L' for x in turned)}), x -> {k << 32}L | ({_bits(fingerprint, a, b)} ^ x))")
+    return f"concat({', '.join(made)})"
+
+
+def first_block(differ: str) -> str:
+    """SQL for the number of the first block in which at most ``FLIPS`` of the bits ``differ`` are set."""
+    return "CASE " + " ".join(f"WHEN bit_count({_bits(differ, a, b)}) <= {FLIPS} THEN {k}" for k, (a, b) in enumerate(_cuts())) + " END"
 
 
 #: SQL for the starts of the windows that hold enough of the sorted ``places``; each is tried at its first place only,
@@ -108,9 +136,10 @@ def leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cut = written(cut, "windows")
     # Fingerprints that many windows share are searched once.
     mine = cut.select("size", "fingerprint").distinct().withColumn("block", F.explode(F.expr(blocks("fingerprint"))))
-    theirs = items.select(F.col("n_words").alias("size"), F.col("fingerprint").alias("item_fingerprint")).distinct().withColumn("block", F.explode(F.expr(blocks("item_fingerprint"))))
-    near = mine.join(theirs, ["size", "block"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS)
-    near = near.select("size", "fingerprint", "item_fingerprint").distinct()
+    theirs = items.filter("n_words >= 5").select(F.col("n_words").alias("size"), F.col("fingerprint").alias("item_fingerprint")).distinct()
+    theirs = theirs.withColumn("block", F.explode(F.expr(near_blocks("item_fingerprint"))))
+    near = mine.join(theirs, ["size", "block"]).withColumn("differ", F.expr("fingerprint ^ item_fingerprint"))
+    near = near.filter(f"bit_count(differ) <= {RADIUS} AND shiftright(block, 32) = {first_block('differ')}").select("size", "fingerprint", "item_fingerprint")
     sides = items.select("item_id", F.col("n_words").alias("size"), F.col("fingerprint").alias("item_fingerprint"), F.col("bag").alias("item_bag"), F.col("weight").alias("item_weight"))
     pairs = cut.join(near.join(sides, ["size", "item_fingerprint"]), ["size", "fingerprint"])
     pairs = pairs.withColumn("common", F.expr(weight("array_intersect(bag, item_bag)")))
@@ -129,7 +158,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document has no leak; each row with a null doc_id is a document of its own."""
-    bad = leaking(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("_text")).distinct()
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & own.eqNullSafe(F.col("_text")), "left_anti")
+    """The rows of ``docs`` whose document has no leak.
+
+    Rows that repeat a doc_id are one document; each row with a null doc_id is a document of its own, and
+    goes by its text.
+    """
+    found = leaking(docs, benchmark)
+    bad = found.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("text")).distinct()
+    own = {"id": F.col("doc_id").cast("long"), "text": F.when(F.col("doc_id").isNull(), F.xxhash64("text"))}
+    return without(docs, own, bad)
