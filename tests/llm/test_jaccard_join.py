@@ -71,6 +71,34 @@ def test_large_groups_are_searched_across_blocks(spark, monkeypatch):
     assert found(spark, rows, 3, 90) == plain(rows, 3, 90)
 
 
+@pytest.mark.parametrize("pool, seed", [(10_000, 11), (4, 12), (2, 13)])
+def test_near_texts_that_mostly_do_not_link(spark, monkeypatch, pool, seed):
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "SHARED", 1)
+    monkeypatch.setattr(jj, "ASKED", 2)
+    monkeypatch.setattr(jj, "BUCKET_BITS", 6)
+    rng, rows = random.Random(seed), []
+    base = [str(k) for k in range(120)]
+    for k in range(150):
+        w = list(base[: rng.randrange(100, 120)])
+        for at in rng.sample(range(100), rng.choice([2, 3, 4])):
+            w[at] = f"{at}x{rng.randrange(pool)}"
+        rows.append((k, " ".join(w)))
+    want = plain(rows, 3, 90)
+    assert found(spark, rows, 3, 90) == want and len({c for _, _, c in want}) > 20
+
+
+def test_search_in_lists_equals_all_pairs():
+    rng, hashes = random.Random(6), jj.Hashes()
+    for percent in (60, 80, 90, 100):
+        sets = [jj.shingles(t.encode(), 2, hashes) for _, t in copies(percent, 200)]
+        block = jj.Block(sets, percent)
+        for x in rng.sample(range(len(sets)), 60):
+            common = [len(np.intersect1d(sets[x], y)) for y in sets]
+            want = [y for y, c in enumerate(common) if 100 * c >= percent * (len(sets[x]) + len(sets[y]) - c)]
+            assert sorted(block.search(sets[x], lambda y: False)) == want
+
+
 def test_edge_cases(spark):
     rows = [(9, None), (8, ""), (7, " \t\n"), (6, "A b"), (5, "a\x0bB"), (4, "a"), (3, "x y z"), (2, "X Y Z"), (1, "é É"), (10, "É É"), (11, "a b a b a b a b a b"), (12, "a b a b"), (13, "w " * 40_000)]
     assert found(spark, rows, 3, 90) == plain(rows, 3, 90)

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import written
+from tidewell.llm._util import spread, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return spread(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread(down, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of ``edges`` (a, b: long, no nulls).
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs
-    one round.  Loops and repeated edges are allowed.  Hot nodes are only ever minimised by partial
-    aggregation and joined on, which adaptive execution splits.
+    one round.  Loops and repeated edges are allowed.  A hot node's rows are minimised by partial
+    aggregation, and dealt over several tasks where its minimum is joined to them.
     """
     edges = written(edges.filter("a <> b").distinct(), "edges")
     before = None

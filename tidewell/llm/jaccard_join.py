@@ -10,10 +10,13 @@ a row for each pair: through a node that is out itself, nodes of different reade
 
 A group is searched in blocks of bounded size by T-occurrence: each block has inverted lists of
 whole shingle sets; for a query the longest lists are set aside, the short ones merged by a heap,
-and nodes that occur often enough are looked up in the long ones by binary search (DivideSkip).
+and nodes that occur often enough are probed in the long lists by binary search (DivideSkip).
 Pairs already connected are passed over.  In groups of several blocks some nodes are in every
-block; afterwards every node outside the group's largest component is a query against all blocks
-of the group, so every link between different components is found.
+block, which connects most of what is to be connected; the nodes left outside the group's largest
+component are queries against the other blocks, but only against those that hold a possible partner:
+with shingles ordered from rare to common, linked sets agree on one of their first (100 - percent) in
+a hundred, at places that leave room for the overlap they need (prefix and positional filters, both
+exact).  Queries stream past a block's index, a bounded number to a task.
 
 Shingles are 64-bit hashes of words' 64-bit hashes, and nodes are 64-bit hashes of sets: equal
 values for different shingles or sets are as unlikely as such hashes make them.
@@ -21,7 +24,8 @@ values for different shingles or sets are as unlikely as such hashes make them.
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing;
 fewer words than a shingle's are one shingle, the whole sequence; rows that repeat a doc_id are
 judged by their own texts; a null doc_id has a null component_id, takes part in no link, and is
-never a label; an empty table gives an empty table; other columns of the input are ignored.
+never a label; a very long text is one large set, searched whole; an empty table gives an empty
+table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ from __future__ import annotations
 import functools
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import batch, slices, tasks, texts, written
+from tidewell.llm._util import batch, slices, spread, tasks, texts, written
 from tidewell.llm.components import components
 from tidewell.llm.kneser_ney import BLOB_SCHEMA, BLOBS, U8, Hashes, by_part, hash_edges, mixed, pack, unpack
 from tidewell.sources.package import in_batches
@@ -48,10 +51,14 @@ from tidewell.sources.package import in_batches
 BLOCK = 512
 #: Nodes that every block of a large group holds, about.
 SHARED = 16
+#: Queries that stream past a copy of a block's index in one task.
+ASKED = 4096
+#: Shingles of large groups are told rare or common by counts in so many (2 ** BUCKET_BITS) buckets of their hashes.
+BUCKET_BITS = 18
 #: Content hashes that a task sorts at a time.
 FLUSH = 750_000
-#: Weight of probing against merging in the choice of long lists.
-MU = 0.01
+#: Microseconds to merge an entry of a short list, and to probe the long lists for a node.
+MERGE, PROBE = 0.4, 12.0
 TIE = np.dtype([("node", "<i8"), ("center", "<i8"), ("need", "<i4"), ("up", "<i4"), ("hits", "<i4")])
 
 
@@ -199,42 +206,65 @@ def ties(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in TIE.names], names=list(TIE.names))
 
     rows = docs.select("text").transform(in_batches, read, BLOBS)
-    return rows.repartition(parts, "part").sortWithinPartitions("part").transform(in_batches, meet, "node long, center long, need int, up int, hits int")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part").transform(in_batches, meet, "node long, center long, need int, up int, hits int")
 
 
-class Block:
-    """Inverted lists of the sets of a block, and T-occurrence search in them."""
+class Lists:
+    """Inverted lists of sets of nearly one size, and T-occurrence search in them."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, numbers: list[int], sets: list[np.ndarray]):
+        self.numbers, self.sets = numbers, sets
+        self.low, self.high = len(sets[0]), len(sets[-1])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         order = np.argsort(flat, kind="stable")
         flat, self.owner = flat[order], owner[order]
         self.start, self.length = _runs(flat)
         self.key = flat[self.start]
+        # All lists one after the other, each in order of its owners: a binary search in here probes one list.
+        self.posting = np.repeat(np.arange(len(self.key)), self.length) * len(sets) + self.owner
 
-    def search(self, query: np.ndarray, skip) -> Iterator[int]:
-        """Positions of the sets, but those that ``skip`` names, that link with ``query``."""
-        n, percent = len(query), self.percent
-        least = -(-percent * n // 100)  # a link's overlap is at least this
+    def search(self, query: np.ndarray, percent: int, skip) -> Iterator[int]:
+        n = len(query)
+        # A link's overlap is at least this, whichever of the sets it is with.
+        least = max(-(-percent * (n + self.low) // (100 + percent)), -(-percent * n // 100))
         at = np.minimum(np.searchsorted(self.key, query), len(self.key) - 1)
         lists = at[self.key[at] == query]
         if len(lists) < least:
             return
         lists = lists[np.argsort(-self.length[lists], kind="stable")]
-        aside = min(least - 1, int(least / (MU * math.log2(max(2, int(self.length[lists[0]]))) + 1)))
-        long, short = self.key[lists[:aside]], lists[aside:]
+        # The longest lists are set aside, as many as make merging the others and probing these cheapest.
+        size = self.length[lists].astype(float)
+        left = (size.sum() - np.concatenate([[0.0], np.cumsum(size)]))[:least]
+        aside = int(np.argmin(MERGE * left + PROBE * np.minimum(len(self.sets), left / (least - np.arange(least)))))
+        long, short = lists[:aside] * len(self.sets), lists[aside:]
         merged = heapq.merge(*(self.owner[self.start[i] : self.start[i] + self.length[i]].tolist() for i in short.tolist()))
         for y, run in groupby(merged):
             overlap = sum(1 for _ in run)
             m = len(self.sets[y])
-            if overlap < least - aside or percent * m > 100 * n or percent * n > 100 * m or skip(y):
+            if overlap < least - aside or percent * m > 100 * n or percent * n > 100 * m or skip(self.numbers[y]):
                 continue
-            # That y is in a long list is found by binary search for the list's shingle in y's set.
-            own = self.sets[y]
-            overlap += int((own[np.minimum(np.searchsorted(own, long), m - 1)] == long).sum())
+            probe = long + y
+            overlap += int((self.posting[np.minimum(np.searchsorted(self.posting, probe), len(self.posting) - 1)] == probe).sum())
             if 100 * overlap >= percent * (n + m - overlap):
-                yield y
+                yield self.numbers[y]
+
+
+class Block:
+    """Sets by size, in runs of nearly one size that are searched on their own."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.runs, at = percent, [], 0
+        order = sorted(range(len(sets)), key=lambda x: len(sets[x]))
+        for k in range(1, len(order) + 1):
+            if k == len(order) or len(sets[order[k]]) > len(sets[order[at]]) * (1 + (100 - percent) / 250):
+                self.runs.append(Lists(order[at:k], [sets[x] for x in order[at:k]]))
+                at = k
+
+    def search(self, query: np.ndarray, skip) -> Iterator[int]:
+        """Positions of the sets, but those that ``skip`` names, that link with ``query``."""
+        for run in self.runs:
+            if self.percent * len(query) <= 100 * run.high and self.percent * run.low <= 100 * len(query):
+                yield from run.search(query, self.percent, skip)
 
 
 def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -257,27 +287,112 @@ def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, np.ndarray, int | None]]]:
-    """The nodes of each (group, block), rows sorted so: (node, set, component if it is a query)."""
-    hashes, here, held, nodes = Hashes(), None, [], Counter()
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return batch(rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of the named columns, few of them Python objects at a time; ``bag`` as a set of hashes."""
     for b in (part for whole in batches for part in slices(whole)):
-        columns = [b.column(c).to_pylist() for c in ("grp", "block", "node", "query")]
-        for grp, block, node, query, text in zip(*columns, texts(b.column("text")), strict=True):
-            if (grp, block) != here:
-                if held:
-                    yield held
-                here, held, nodes = (grp, block), [], Counter()
-            own = shingles(text, width, hashes)
-            role = node, query is not None and query >= 0  # a query can be one of the block's own nodes, too
-            if len(own) and node_of(own) == node and not nodes[role]:
-                nodes[role] += 1
-                held.append((node, own, query))
-    if held:
-        yield held
+        columns = [(np.frombuffer(x, U8) for x in b.column(c).to_pylist()) if c == "bag" else b.column(c).to_pylist() for c in names]
+        yield from zip(*columns, strict=True)
 
 
-def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return batch(rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def inside(percent: int):
+    """Links of each (grp, block) of rows sorted so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches, "grp", "block", "node", "bag"), lambda r: r[:2]):
+            block = {node: own for _, _, node, own in rows}
+            nodes = list(block)
+            yield _edges([(nodes[x], nodes[y]) for x, y in spanning(list(block.values()), percent)])
+
+    return run
+
+
+def across(percent: int):
+    """Links between components: of rows sorted by (grp, block, chunk, asks, node) those that ask stream past the index of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches, "grp", "block", "chunk", "asks", "node", "component", "bag"), lambda r: r[:3]):
+            stay, sets, index, edges, known = [], [], None, [], {}
+
+            def root(c: int, known=known) -> int:
+                while known.get(c, c) != c:
+                    c = known[c]
+                return c
+
+            for *_, asks, node, component, own in rows:
+                if not asks:
+                    if not stay or stay[-1][0] != node:
+                        stay.append((node, component))
+                        sets.append(own)
+                    continue
+                if not stay:
+                    break
+                index = index or Block(sets, percent)
+                for y in index.search(own, lambda y, c=component, stay=stay, root=root: root(stay[y][1]) == root(c)):
+                    known[root(stay[y][1])] = root(component)
+                    edges.append((node, stay[y][0]))
+            if edges:
+                yield _edges(edges)
+
+    return run
+
+
+def _bucket(own: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(own) >> U8(64 - bits)).astype(np.int64)
+
+
+def commonness(bags: DataFrame, bits: int) -> np.ndarray:
+    """How many shingles of ``bags`` fall into each bucket: a table of fixed size, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for (own,) in _rows(batches, "bag"):
+            np.add.at(n, _bucket(own, bits), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    found = np.zeros(1 << bits, np.int64)
+    counted = bags.select("bag").transform(in_batches, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()  # at most 2 ** bits rows
+    return found
+
+
+def meetings(busy: DataFrame, percent: int) -> DataFrame:
+    """grp, block, node: the outside nodes and the home blocks, in their group, of possible partners in other components.
+
+    ``busy``: grp, node, component, outside, home, bag.
+    """
+    spark = busy.sparkSession
+    bits = BUCKET_BITS
+    sent = spark.sparkContext.broadcast(commonness(busy, bits))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for b in batches:
+            counts, keys, rests, sizes = [], [], [], []
+            for (own,) in _rows([b], "bag"):
+                n = len(own)
+                level = common[_bucket(own, bits)]
+                order = np.lexsort((own, level))[: n - -(-percent * n // 100) + 1]
+                shared = level[order] > 1  # what one set alone holds meets nothing
+                keys.append(own[order][shared].view(np.int64))
+                rests.append((n - np.arange(len(order)))[shared])
+                counts.append(len(keys[-1]))
+                sizes.append(n)
+            at = np.repeat(np.arange(b.num_rows), counts)
+            kept = [b.column(c).take(pa.array(at)) for c in ("grp", "node", "component", "outside", "home")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(sizes, counts).astype(np.int64)), pa.array(np.concatenate(rests) if rests else np.zeros(0, np.int64))], ["grp", "node", "component", "outside", "home", "shingle", "n", "rest"])
+
+    lists = written(busy.transform(in_batches, first, "grp long, node long, component long, outside boolean, home long, shingle long, n long, rest long"), "lists")
+    asks = lists.filter("outside").select("grp", "shingle", F.col("node").alias("asker"), F.col("n").alias("size"), F.col("rest").alias("left"), F.col("component").alias("own"))
+    # Of a block's nodes that are alike in all that the filters see, one row; written, so that adaptive execution can split hot lists.
+    held = written(lists.groupBy("grp", "shingle", "home", "n", "rest").agg(F.min("component").alias("low"), F.max("component").alias("high")), "held")
+    room = F.least("left", "rest") * (100 + percent) >= percent * (F.col("size") + F.col("n"))
+    met = asks.join(held, ["grp", "shingle"]).filter(room & ((F.col("low") != F.col("own")) | (F.col("high") != F.col("own"))))
+    return written(met.select("grp", F.col("home").alias("block"), F.col("asker").alias("node")).distinct(), "meetings")
 
 
 def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFrame:
@@ -294,67 +409,51 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     kept = tied.join(carried, "node").filter("node <> center")
     grouped = components(kept.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "grp").join(alive, "node")
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    own = grouped.join(sizes, "grp").withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(4 * F.col("n") / (3 * BLOCK))).cast("long"))
+    own = spread(grouped, sizes, ["grp"]).withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(4 * F.col("n") / (3 * BLOCK))).cast("long"))
     first = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.col("n")) < SHARED)
     representative = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
     members = written(own.select("grp", "node", "blocks", first.alias("home"), shared.alias("shared")).join(representative, "node"), "members")
-    # Candidates grow with the corpus, so texts and they meet by a shuffle at every size; once, for both searches.
-    candidates = written(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id").drop("doc_id"), "candidates")
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    placed = candidates.select("grp", "node", "text", F.explode(F.when(F.col("shared"), everywhere).otherwise(F.array("home"))).alias("block"), F.lit(None).cast("long").alias("query"))
-
-    def search(rows: DataFrame, within) -> DataFrame:
-        dealt = rows.repartition(4 * n, "grp", "block").sortWithinPartitions("grp", "block")
-        return dealt.transform(in_batches, within, "a long, b long")
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, width):
-            rows = [(block[x][0], block[y][0]) for x, y in spanning([s for _, s, _ in block], percent)]
-            yield _edges(rows)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, width):
-            # ``query`` holds a component: of a query as it is, of a block's own node as a negative number.
-            stay = [(x, s, -q - 1) for x, s, q in block if q is not None and q < 0]
-            asked = [(x, s, q) for x, s, q in block if q is not None and q >= 0]
-            if not stay or not asked:
-                continue
-            index = Block([s for _, s, _ in stay], percent)
-            known: dict[int, int] = {}
 
-            def root(c: int, known=known) -> int:
-                while known.get(c, c) != c:
-                    c = known[c]
-                return c
-
-            rows = []
-            for x, s, q in asked:
-                for y in index.search(s, lambda y, q=q: root(stay[y][2]) == root(q)):
-                    known[root(stay[y][2])] = root(q)
-                    rows.append((x, stay[y][0]))
-            yield _edges(rows)
-
-    edges = written(search(placed, inside), "links")
-    large = members.filter("blocks > 1")
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in (part for whole in batches for part in slices(whole)):
+            sets = [shingles(x, width, hashes) for x in texts(b.column("text"))]
+            # Rows that repeat a doc_id can have other sets than its node.
+            keep = pa.array([len(x) > 0 and node_of(x) == node for x, node in zip(sets, b.column("node").to_pylist(), strict=True)])
+            bag = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "node", "blocks", "home", "shared")), bag], ["grp", "node", "blocks", "home", "shared", "bag"]).filter(keep)
+
+    # Candidates grow with the corpus, so texts and they meet by a shuffle at every size.
+    met = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id").select("grp", "node", "blocks", "home", "shared", "text")
+    # Written first: a sort of texts and Python workers in one stage would share an executor's memory.
+    met = written(met, "texts")
+    candidates = written(met.transform(in_batches, bags, "grp long, node long, blocks long, home long, shared boolean, bag binary"), "candidates")
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    placed = candidates.select("grp", "node", "bag", F.explode(F.when(F.col("shared"), everywhere).otherwise(F.array("home"))).alias("block"))
+    dealt = placed.repartition(n, "grp", "block").sortWithinPartitions("grp", "block")
+    edges = written(dealt.transform(in_batches, inside(percent), "a long, b long"), "links")
+    large = candidates.filter("blocks > 1").select("grp", "node", "home", "bag")
     if large.isEmpty():
         return edges
-    # Components of the large groups so far, numbered from 0 within each group by size.
+    # Components of the large groups so far; the nodes outside each group's largest one ask the other blocks.
     roots = components(edges).withColumnRenamed("root", "component")
-    labelled = large.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.filter("blocks > 1").select("grp", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = labelled.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("main")).select("grp", "main.component", F.lit(True).alias("is_main"))
-    # A component's number is any non-negative one that differs from the others' of its group.
-    code = F.shiftrightunsigned(F.xxhash64("component"), 2)
-    labelled = written(labelled.join(main, ["grp", "component"], "left").withColumn("code", code), "labelled")
-    outside = labelled.filter("is_main is null")
-    if outside.isEmpty():
+    main = counted.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "main.component", F.lit(True).alias("is_main"))
+    open_groups = main.select("grp")
+    labelled = spread(spread(labelled, open_groups, ["grp"]), main, ["grp", "component"], "left").select("node", "component", F.col("is_main").isNull().alias("outside"))
+    busy = written(large.dropDuplicates(["node"]).join(labelled, "node"), "busy")
+    if busy.isEmpty():
         return edges
-    own = candidates.filter("blocks > 1").select("node", "blocks", "home", "text")
-    asked = outside.select("grp", "node", "code").join(own, "node").select("grp", "node", "text", F.explode(everywhere).alias("block"), F.col("code").alias("query"))
-    busy = labelled.join(outside.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "code")
-    stay = busy.join(own, "node").select("grp", "node", "text", F.col("home").alias("block"), (-F.col("code") - 1).alias("query"))
-    return edges.unionByName(written(search(asked.unionByName(stay), across), "links"))
+    met = meetings(busy, percent)
+    load = met.groupBy("grp", "block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("chunks"))
+    asked = spread(met, load, ["grp", "block"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(13)), "chunks").cast("int"))
+    asked = asked.select("grp", "block", "chunk", "node", F.lit(True).alias("asks")).join(busy.select("node", "component", "bag"), "node")
+    stay = busy.withColumnRenamed("home", "block").join(load, ["grp", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = asked.unionByName(stay.select("node", "grp", "block", "chunk", F.lit(False).alias("asks"), "component", "bag"))
+    dealt = rows.repartition(n, "grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "asks", "node")
+    return edges.unionByName(written(dealt.transform(in_batches, across(percent), "a long, b long"), "links"))
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -378,10 +477,12 @@ def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()), b.column(2)], ["doc_id", "n_shingles", "node", "text_hash"])
 
     meta = written(docs.transform(in_batches, measure, "doc_id long, n_shingles long, node long, text_hash long"), "sets")
-    least = meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(docs.filter("doc_id is not null"), meta.filter("doc_id is not null"), width, percent))
-    named = roots.join(least, "node")
-    label = named.groupBy("root").agg(F.min("least").alias("label"))
-    by_node = least.join(named.join(label, "root").select("node", "label", "root"), "node", "left").select("node", F.coalesce("label", "least").alias("label"), "root")
-    found = meta.join(by_node, "node", "left")
-    return found.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    # What is alone needs no label; the rest is small beside the table, and copies of hot rows and components can be spread.
+    found = nodes.join(roots, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
+    found = written(found, "roots")
+    label = found.groupBy("root").agg(F.min("least").alias("label"))
+    by_node = spread(found, label, ["root"]).select("node", "root", "label")
+    rows = spread(meta, by_node, ["node"], "left")
+    return rows.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
