@@ -38,6 +38,20 @@ def test_any_text(text):
     assert ENCODER(text) == library_ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["word", "it's", " ", "  ", "\n", "日本", "🙂", "\u3000", "\u2028", "e\u0301", "12", "'s", "é", "!?", "\u0250x", "ſ"]), max_size=14))
+def test_stretches_beyond_the_short_cut(pieces):
+    for text in ("".join(pieces), " ".join(pieces)):
+        assert COUNTER.count(text) == len(COUNTER.tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_null_keys_and_very_long_texts(spark):
+    rows = spark.createDataFrame([(None, "a b 日本 c"), (1, "word and 日本 " * 40_000)], "doc_id long, text string").selectExpr("*", "1 AS n_bytes", "2 AS key")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(rows, token_counts.default_vocabulary()).collect()}
+    want = {r["doc_id"]: len(COUNTER.tok.encode(r["text"], add_special_tokens=False).ids) for r in rows.collect()}
+    assert got == want
+
+
 def test_whole_tokens_are_proved():
     some = sorted(COUNTER.whole)[::997]
     assert len(COUNTER.whole) > 40_000

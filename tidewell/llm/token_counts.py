@@ -2,12 +2,16 @@
 
 A vocabulary string that the library encodes alone as its own single id, and that the
 pre-tokenizer leaves in one piece, always counts one token where it stands as a pre-token.
-That is proved once for each vocabulary string; the other pre-tokens are merged by the
-library, each distinct one once.
+That is proved once for each vocabulary string, before the job starts, and sent to the workers (its
+size is the vocabulary's); the other pre-tokens are merged by the library, each distinct one once.
 
-Edge cases: a null or empty text has 0 tokens and 0 bytes; repeated rows are counted
-separately; an empty table gives an empty table; other columns of the input are ignored.
-Texts with a special token's string or characters beyond U+024F go through the library whole.
+Pre-tokens never span a blank that follows a character other than white space and comes before another one,
+so a text can be cut there.  Stretches with characters beyond U+024F, whose classes depend on the version of
+Unicode, go through the library; the rest of the text takes the shortcut.
+
+Edge cases: a null or empty text has 0 tokens and 0 bytes; a very long text is counted whole; repeated rows are
+counted separately; a null key stays null; an empty table gives an empty table; other columns of the input are
+ignored, whatever their names.  Texts with a special token's string go through the library whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm._util import strings
+from tidewell.llm._util import slices, strings
 from tidewell.sources.package import in_batches
 
 # The classes letter, number and white space of the code points up to U+024F.
@@ -31,6 +35,8 @@ NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\\t\\n\\x0b\\x0c\\r \x85\xa0"
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile("[^\x00-ɏ]")
+#: Where a text with characters beyond can be cut: before such a blank.
+CUT = re.compile(f"(?<=[^{SPACE}\u0250-\U0010ffff])(?= [^{SPACE}\u0250-\U0010ffff])")
 #: Distinct merged pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 300_000
 
@@ -83,14 +89,24 @@ class Merged(dict):
 
 
 class Counter:
-    def __init__(self, path: str):
-        self.tok, self.whole = tokenizer(path), whole_tokens(path)
+    """Counts tokens; ``whole``: the strings that ``whole_tokens`` proved."""
+
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        self.tok, self.whole = tokenizer(path), whole_tokens(path) if whole is None else whole
         self.merged = Merged(self.tok, len)
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
 
+    def by_library(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
     def count(self, text: str) -> int:
-        if BEYOND.search(text) or any(x in text for x in self.special):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
+        if any(x in text for x in self.special):
+            return self.by_library(text)
+        if BEYOND.search(text):
+            return sum(self.by_library(x) if BEYOND.search(x) else self.shortcut(x) for x in CUT.split(text))
+        return self.shortcut(text)
+
+    def shortcut(self, text: str) -> int:
         pieces = PIECE.findall(text)
         whole, merged = self.whole, self.merged
         rest = [p for p in pieces if p not in whole]
@@ -100,10 +116,11 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``key``, n_bytes, n_tokens and over_limit (n_tokens > ``limit``), one for each row."""
     kind = docs.schema[key].dataType.simpleString()
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))  # as large as the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
-        for b in batches:
+        counter = Counter(vocabulary, proved.value)
+        for b in (part for whole in batches for part in slices(whole)):
             n = [counter.count(x) for x in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
