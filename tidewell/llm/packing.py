@@ -7,8 +7,10 @@ lengths that fill a sequence are enumerated, non-negative least squares fits how
 used to the histogram, the counts are rounded down, and the residual histogram is packed by
 best fit.  The pieces of one length then take their places in the patterns by rank.
 
-Edge cases: a null or empty text is one piece that holds the end id alone; rows that repeat a
-doc_id are separate documents with equal piece numbers; an empty table gives an empty table.
+Edge cases: a null or empty text is one piece that holds the end id alone; a very long text is cut into
+full pieces and a last one; rows that repeat a doc_id are separate documents with equal piece numbers, a null
+doc_id is one, too; pieces of equal length take their places by doc_id, piece and checksum, and pieces equal in
+these are alike; an empty table gives an empty table; other columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import batch, strings, tasks, written
+from tidewell.llm._util import batch, slices, strings, tasks, written
 from tidewell.llm.token_counts import LETTER, NUMBER, SPACE, Merged, tokenizer
 from tidewell.sources.package import in_batches
 
@@ -66,7 +68,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int, with_ids: bool = False)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 ids = encode(text)
@@ -79,7 +81,11 @@ def pieces(docs: DataFrame, vocabulary: str, room: int, with_ids: bool = False)
 
 
 def length_patterns(counts: np.ndarray, room: int, tries: int = 12) -> list[tuple[int, ...]]:
-    """Patterns of one to four present lengths that fill a sequence, or nearly."""
+    """Patterns of one to four present lengths that fill a sequence, or nearly.
+
+    ``tries``: so many of the commonest lengths are tried in the middle of a pattern.  Patterns are proposals: lengths
+    that none covers are packed with the residual.
+    """
     present = np.flatnonzero(counts)
     present = present[present > 0]
     common = present[np.argsort(-counts[present], kind="stable")]
@@ -105,8 +111,12 @@ def length_patterns(counts: np.ndarray, room: int, tries: int = 12) -> list[tupl
     return sorted(x for x in found if sum(x) >= room - max(1, room // 256))
 
 
-def fitted(patterns: list[tuple[int, ...]], counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|: projected gradient with momentum."""
+def fitted(patterns: list[tuple[int, ...]], counts: np.ndarray, most_steps: int = 4000, near: float = 1e-4) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - counts|: projected gradient with momentum.
+
+    It ends when a step moves no count by more than ``near`` of the greatest, or after ``most_steps``; a fit that ends
+    early leaves more to the residual, and no piece out.
+    """
     if not patterns:
         return np.zeros(0)
     column = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
@@ -121,10 +131,15 @@ def fitted(patterns: list[tuple[int, ...]], counts: np.ndarray, steps: int = 400
     rate = 1 / max(1e-9, float(v @ back(forward(v))) * 1.05)
     x = y = np.zeros(len(patterns))
     t = 1.0
-    for _ in range(steps):
+    for _ in range(most_steps):
         step = np.maximum(0, y - rate * back(forward(y) - counts))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        x, y, t = step, step + (t - 1) / t2 * (step - x), t2
+        moved = np.abs(step - x).max()
+        if float((y - step) @ (step - x)) > 0:  # momentum that has gone too far starts anew
+            t2 = 1.0
+        x, y, t = step, step + (t - 1) / t2 * (step - x) if t2 > 1 else step, t2
+        if moved <= near * max(1.0, float(x.max())):
+            break
     return x
 
 
