@@ -76,7 +76,6 @@ def test_near_texts_that_mostly_do_not_link(spark, monkeypatch, pool, seed):
     monkeypatch.setattr(jj, "BLOCK", 8)
     monkeypatch.setattr(jj, "SHARED", 1)
     monkeypatch.setattr(jj, "ASKED", 2)
-    monkeypatch.setattr(jj, "BUCKET_BITS", 6)
     rng, rows = random.Random(seed), []
     base = [str(k) for k in range(120)]
     for k in range(150):

@@ -42,9 +42,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import batch, slices, spread, tasks, texts, written
+from tidewell.llm._util import batch, scratch, slices, spread, tasks, texts, written
 from tidewell.llm.components import components
-from tidewell.llm.kneser_ney import BLOB_SCHEMA, BLOBS, U8, Hashes, by_part, hash_edges, mixed, pack, unpack
+from tidewell.llm.kneser_ney import BLOB_SCHEMA, BLOBS, U8, Hashes, Table, by_part, cut, hash_edges, kinds, merged, mixed, narrow, pack, save, unpack
 from tidewell.sources.package import in_batches
 
 #: Nodes of a group that are searched together; larger groups have blocks of three quarters of this.
@@ -53,8 +53,6 @@ BLOCK = 512
 SHARED = 16
 #: Queries that stream past a copy of a block's index in one task.
 ASKED = 4096
-#: Shingles of large groups are told rare or common by counts in so many (2 ** BUCKET_BITS) buckets of their hashes.
-BUCKET_BITS = 18
 #: Content hashes that a task sorts at a time.
 FLUSH = 750_000
 #: Microseconds to merge an entry of a short list, and to probe the long lists for a node.
@@ -340,24 +338,36 @@ def across(percent: int):
     return run
 
 
-def _bucket(own: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(own) >> U8(64 - bits)).astype(np.int64)
-
-
-def commonness(bags: DataFrame, bits: int) -> np.ndarray:
-    """How many shingles of ``bags`` fall into each bucket: a table of fixed size, whatever the input."""
+def commonness(bags: DataFrame) -> Table:
+    """The shingles that more than one set of ``bags`` holds, and how many do: sorted arrays in files of the shared folder."""
+    spark, flush = bags.sparkSession, FLUSH
+    parts = max(tasks(spark), -(-bags.count() // 20_000))
+    folder, edges = scratch(spark, "shingles"), hash_edges(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
+        held, size = [], 0
         for (own,) in _rows(batches, "bag"):
-            np.add.at(n, _bucket(own, bits), 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+            held.append(own)
+            size += len(own)
+            if size >= flush:
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                yield batch(cut(keys, (n,), edges, 0), BLOB_SCHEMA)
+                held, size = [], 0
+        if held:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            yield batch(cut(keys, (n,), edges, 0), BLOB_SCHEMA)
 
-    found = np.zeros(1 << bits, np.int64)
-    counted = bags.select("bag").transform(in_batches, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    found[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()  # at most 2 ** bits rows
-    return found
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in by_part(batches):
+            keys, n = merged(held[0])
+            own = [keys[n > 1], narrow(n[n > 1])]
+            yield batch([(part, save(folder, f"part-{part}", *own), len(own[0]), kinds(*own))], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("kinds", pa.string())]))
+
+    counted = bags.select("bag").transform(in_batches, count, BLOBS).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    files = [("", 0, "")] * parts
+    for r in counted.transform(in_batches, merge, "part int, path string, n long, kinds string").collect():  # one row for each part
+        files[r["part"]] = (r["path"], r["n"], r["kinds"])
+    return Table(files, edges, 1)
 
 
 def meetings(busy: DataFrame, percent: int) -> DataFrame:
@@ -365,34 +375,36 @@ def meetings(busy: DataFrame, percent: int) -> DataFrame:
 
     ``busy``: grp, node, component, outside, home, bag.
     """
-    spark = busy.sparkSession
-    bits = BUCKET_BITS
-    sent = spark.sparkContext.broadcast(commonness(busy, bits))
+    common = commonness(busy)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
-        for b in batches:
-            counts, keys, rests, sizes = [], [], [], []
-            for (own,) in _rows([b], "bag"):
+        for b in (part for whole in batches for part in slices(whole, 500)):
+            sets = [own for (own,) in _rows([b], "bag")]
+            levels = np.split(common.values_of(np.concatenate(sets))[0], np.cumsum([len(x) for x in sets])[:-1])
+            counts, keys, rests = [], [], []
+            for own, level in zip(sets, levels, strict=True):
                 n = len(own)
-                level = common[_bucket(own, bits)]
                 order = np.lexsort((own, level))[: n - -(-percent * n // 100) + 1]
-                shared = level[order] > 1  # what one set alone holds meets nothing
-                keys.append(own[order][shared].view(np.int64))
-                rests.append((n - np.arange(len(order)))[shared])
-                counts.append(len(keys[-1]))
-                sizes.append(n)
-            at = np.repeat(np.arange(b.num_rows), counts)
-            kept = [b.column(c).take(pa.array(at)) for c in ("grp", "node", "component", "outside", "home")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(sizes, counts).astype(np.int64)), pa.array(np.concatenate(rests) if rests else np.zeros(0, np.int64))], ["grp", "node", "component", "outside", "home", "shingle", "n", "rest"])
+                order, place = order[level[order] > 0], np.arange(len(order))[level[order] > 0]  # what one set alone holds meets nothing
+                keys.append(own[order].view(np.int64))
+                rests.append(n - place)
+                counts.append(len(order))
+            at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+            kept = [b.column(c).take(at) for c in ("grp", "node", "component", "outside", "home")]
+            sizes = np.repeat([len(x) for x in sets], counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(keys)), pa.array(sizes), pa.array(np.concatenate(rests))], ["grp", "node", "component", "outside", "home", "shingle", "n", "rest"])
 
     lists = written(busy.transform(in_batches, first, "grp long, node long, component long, outside boolean, home long, shingle long, n long, rest long"), "lists")
     asks = lists.filter("outside").select("grp", "shingle", F.col("node").alias("asker"), F.col("n").alias("size"), F.col("rest").alias("left"), F.col("component").alias("own"))
-    # Of a block's nodes that are alike in all that the filters see, one row; written, so that adaptive execution can split hot lists.
-    held = written(lists.groupBy("grp", "shingle", "home", "n", "rest").agg(F.min("component").alias("low"), F.max("component").alias("high")), "held")
-    room = F.least("left", "rest") * (100 + percent) >= percent * (F.col("size") + F.col("n"))
-    met = asks.join(held, ["grp", "shingle"]).filter(room & ((F.col("low") != F.col("own")) | (F.col("high") != F.col("own"))))
-    return written(met.select("grp", F.col("home").alias("block"), F.col("asker").alias("node")).distinct(), "meetings")
+    # What the filters see of a block in a list: its smallest set, its best placed one, and whether it is all of one component.
+    placed = F.max(F.col("rest") * (100 + percent) - F.col("n") * percent)
+    blocks = lists.groupBy("grp", "shingle", "home").agg(F.min("n").alias("least"), placed.alias("best"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # One row for each list, written, so that adaptive execution can split a hot list's askers.
+    blocks = written(blocks.groupBy("grp", "shingle").agg(F.collect_list(F.struct("home", "least", "best", "low", "high")).alias("blocks")), "blocks")
+    possible = f"left * {100 + percent} >= {percent} * (size + b.least) AND b.best >= {percent} * size AND (b.low <> own OR b.high <> own)"
+    met = asks.join(blocks, ["grp", "shingle"]).select("grp", "asker", F.expr(f"transform(filter(blocks, b -> {possible}), b -> b.home)").alias("homes")).filter("size(homes) > 0")
+    met = met.groupBy("grp", "asker").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+    return written(met.select("grp", F.explode("homes").alias("block"), F.col("asker").alias("node")), "meetings")
 
 
 def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFrame:
