@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 from tidewell.llm import warc
 
@@ -54,6 +55,21 @@ def test_lookup_by_key(spark):
     assert {(f["key"], f["page_id"], bytes(f["payload"])) for f in found} == {("com,example,h3)/p500", 500, b"page 500"), ("com,example,h3)/p10", 10, b"page 10")}
 
 
+def test_any_keys_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    hosts = ["a.example.com", "b.example.com", "example.org", "é.example", "x"]
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice('abcé')}{rng.randrange(60)}", f"page {rng.randrange(400)}", "") for k in range(1500)]
+    rows += [(k, "http://hot.example.com/same", f"hot {k}", "") for k in range(5000, 5700)] + [(k, None, "", "") for k in range(9000, 9300)]
+    pages = frame(spark, rows)
+    keyed = [(r["page_id"], r["key"]) for r in pages.select("page_id", warc.url_key("url").alias("key")).collect()]
+    directory = warc.write_archives(pages, warc.archive_folder(spark))
+    asked = sorted({k for _, k in rng.sample(keyed, 300)} | {"com,example,hot)/same", "", "com,example,a)/none", "zzz", "A"})
+    found = warc.find(directory, spark.createDataFrame([(k,) for k in asked], "key string")).collect()
+    assert sorted((r["key"], r["page_id"]) for r in found) == sorted((k, p) for p, k in keyed if k in set(asked))
+    every = warc.find(directory, pages.select(warc.url_key("url").alias("key"))).drop("key")
+    assert sorted(map(tuple, every.collect()), key=str) == sorted(map(tuple, warc.scan(directory).collect()), key=str)
+
+
 def test_archives_are_gzip_members(spark):
     directory = warc.write_archives(frame(spark), warc.archive_folder(spark))
     path = directory.first()["archive"].removeprefix("file://").removeprefix("file:")

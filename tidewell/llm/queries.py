@@ -11,8 +11,9 @@ from tidewell.llm._util import read
 
 
 def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc.write_archives(read(spark, sf_dir, "pages"), warc.archive_folder(spark), min_revisit=0)
-    return warc.scan(directory, payloads=False).drop("payload", "url")
+    pages = read(spark, sf_dir, "pages")
+    directory = warc.write_archives(pages, warc.archive_folder(spark), min_revisit=0)
+    return warc.find(directory, pages.select(warc.url_key("url").alias("key")), payloads=False).drop("key", "payload", "url")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 Captures are ordered by (reversed-host URL key, page_id) through one range exchange.  Every
 task writes one archive, a gzip member for each record, and beside it an index file of
-compressed blocks of ``BLOCK`` captures in the same order.  The sparse directory, a Parquet
-table, keeps one row for each block.  A lookup binary-searches the directory, reads one block
-by range, binary-searches that, and reads the record by range.  A scan walks the directory and
-reads each block's stretch of its archive in one range read.
+compressed blocks of ``BLOCK`` captures in the same order, and a file with the sparse directory of its
+blocks.  The whole directory, a Parquet table, keeps one row for each block, too.
+
+``find`` looks up any number of keys: the first and last keys of the archives (a row for each task that
+wrote) tell by binary search in which ones a key can be; the keys of an archive come to one task, in order,
+which binary-searches the sparse directory, reads the blocks by range, binary-searches these, and reads
+the records by range, those that lie together at once.  ``scan`` walks the directory instead.
 
 A task's files carry a name of their own attempt and only the directory rows of the committed
 attempt name them, so a lost executor or a second attempt leaves nothing wrong behind.
@@ -16,8 +19,9 @@ page_id is the response and the others revisit it.
 Edge cases: a null html is an empty payload; a null url has the empty key; a null page_id sorts
 before all others and is never the record that others refer to unless all are null; rows that
 repeat a page_id with the same payload keep one response, the others revisit that same page_id;
-control characters and blanks of a url are percent-encoded in the archive; an empty table gives
-an empty directory and no rows; other columns of the input are ignored.
+control characters and blanks of a url are percent-encoded in the archive; a very long payload is one
+record and in one task's memory; a key that many captures share is found in all archives that it spans; an empty
+table gives an empty directory and no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._util import batch, filesystem, scratch, tasks, written
+from tidewell.llm._util import batch, filesystem, parts, scratch, tasks, written
 from tidewell.sources.package import in_batches
 
 BLOCK = 128
@@ -44,13 +47,15 @@ BLOCK = 128
 CONTROL = r"[\x00-\x1f\x7f]"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DIRECTORY = "first_key string, last_key string, archive string, archive_start long, archive_end long, index_file string, start long, length long, n long"
+DIRECTORY = "first_key string, last_key string, archive string, archive_start long, archive_end long, index_file string, start long, length long, n long, blocks string"
+#: Records of a block that are read at once, if they make up half of the stretch that holds them.
+TOGETHER = 0.5
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def url_key(url):
     """The reversed host, then port, path and query: ``com,example,www)/a?b``.  Null gives ''."""
-    url = F.coalesce(url, F.lit(""))
+    url = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*([^#]*)", 1)
     key = F.when(host == "", F.lower(url)).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
@@ -112,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = uuid.uuid4().hex
-        archive, index = f"{folder}/part-of-archive-{name}.warc.gz", f"{folder}/part-of-index-{name}.cdx.gz"
+        archive, index, sparse = f"{folder}/part-of-archive-{name}.warc.gz", f"{folder}/part-of-index-{name}.cdx.gz", f"{folder}/part-of-blocks-{name}.tsv.gz"
         store, where = filesystem(archive)
         rows, lines, done = [], [], set()
         at = start = index_at = 0
@@ -124,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
             nonlocal index_at, start, lines
             block = gzip.compress("\n".join(lines).encode(), 6, mtime=0)
             index_out.write(block)
-            rows.append((lines[0].split("\t")[0], lines[-1].split("\t")[0], archive, start, at, index, index_at, len(block), len(lines)))
+            rows.append((lines[0].split("\t")[0], lines[-1].split("\t")[0], archive, start, at, index, index_at, len(block), len(lines), sparse))
             index_at, start, lines = index_at + len(block), at, []
 
         for b in batches:
@@ -154,7 +159,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
         if out is not None:
             out.close()
             index_out.close()
-        yield batch(rows, pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("archive_start", pa.int64()), ("archive_end", pa.int64()), ("index_file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())]))
+            with store.open_output_stream(filesystem(sparse)[1], compression=None) as blocks_out:
+                blocks_out.write(gzip.compress("\n".join("\t".join(map(str, r[:-1])) for r in rows).encode(), 6, mtime=0))
+        yield batch(rows, pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("archive_start", pa.int64()), ("archive_end", pa.int64()), ("index_file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("blocks", pa.string())]))
 
     return written(ordered(pages, min_revisit).transform(in_batches, write, DIRECTORY), "warc-directory")
 
@@ -191,24 +198,81 @@ def scan(directory: DataFrame, payloads: bool = True) -> DataFrame:
     return directory.repartition(n, "archive", "start").transform(in_batches, load, RECORDS)
 
 
+def _blocks(uri: str) -> list[dict]:
+    """The sparse directory of an archive, in order."""
+    store, where = filesystem(uri)
+    with store.open_input_file(where) as file:
+        lines = gzip.decompress(file.read()).decode().split("\n")
+    names = ("first_key", "last_key", "archive", "archive_start", "archive_end", "index_file", "start", "length", "n")
+    return [{k: int(v) if k in ("archive_start", "archive_end", "start", "length", "n") else v for k, v in zip(names, x.split("\t"), strict=True)} for x in lines]
+
+
+def _records(archives: dict, row: dict, lines: list[list[str]]) -> Iterator[bytes]:
+    """The records of some lines of a block, in order."""
+    if not lines:
+        return
+    first, end = int(lines[0][2]), int(lines[-1][2]) + int(lines[-1][3])
+    if sum(int(x[3]) for x in lines) >= TOGETHER * (end - first):
+        stretch = _range(archives, row["archive"], first, end - first)
+        yield from (stretch[int(x[2]) - first : int(x[2]) - first + int(x[3])] for x in lines)
+    else:
+        yield from (_range(archives, row["archive"], int(x[2]), int(x[3])) for x in lines)
+
+
+def find(directory: DataFrame, keys: DataFrame, payloads: bool = True) -> DataFrame:
+    """key and the columns of RECORDS for every capture of each of the keys (column ``key``), through the index."""
+    bounds = directory.groupBy("archive").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"), F.first("blocks").alias("blocks"))
+    known = sorted((r["first"], r["last"], r["blocks"]) for r in bounds.collect())  # one row for each task that wrote
+    firsts, lasts, files = ([r[k] for r in known] for k in range(3))
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(n, key) for key in b.column(0).to_pylist() for n in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            yield batch(rows, pa.schema([("archive", pa.int32()), ("key", pa.string())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, blocks, ends, index, archives, held, lines = None, [], [], {}, {}, None, []
+
+        def found() -> Iterator[tuple]:
+            nonlocal here, blocks, ends, held, lines
+            wanted: list[list[str]] = []
+
+            def taken() -> Iterator[tuple]:
+                for line, member in zip(wanted, _records(archives, blocks[held], wanted) if wanted else (), strict=True):
+                    row = _decode(member)
+                    yield (line[0], *row) if payloads and row[4] == "response" else (line[0], *row[:6], None)
+
+            for b in batches:
+                for archive, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if archive != here:
+                        yield from taken()
+                        here, blocks, held, wanted = archive, _blocks(files[archive]), None, []
+                        ends = [x["last_key"] for x in blocks]
+                    at = bisect_left(ends, key)
+                    while at < len(blocks) and blocks[at]["first_key"] <= key:
+                        if at != held:
+                            yield from taken()
+                            held, wanted, lines = at, [], _block(index, blocks[at])
+                        own = [x[0] for x in lines]
+                        wanted += lines[bisect_left(own, key) : bisect_right(own, key)]
+                        at += 1
+            yield from taken()
+
+        yield from parts(found(), schema)
+
+    if not known:
+        return directory.sparkSession.createDataFrame([], "key string, " + RECORDS)
+    safe = F.regexp_replace(F.coalesce("key", F.lit("")), CONTROL, "%")
+    dealt = keys.select(safe.alias("key")).distinct().transform(in_batches, route, "archive int, key string")
+    dealt = dealt.repartitionById(len(known), F.col("archive")).sortWithinPartitions("archive", "key")
+    return dealt.transform(in_batches, search, "key string, " + RECORDS)
+
+
 def lookup(directory: DataFrame, keys: list[str]) -> list[dict]:
-    """The captures of a few URL keys: binary search in the directory, then in one or more blocks."""
+    """The captures of a few URL keys, as ``find`` finds them."""
     spark = directory.sparkSession
-    want = spark.createDataFrame([(re.sub(CONTROL, "%", k),) for k in keys], "want string")
-    near = directory.join(F.broadcast(want), (F.col("first_key") <= F.col("want")) & (F.col("last_key") >= F.col("want"))).drop("want").distinct()
-    blocks = sorted((r.asDict() for r in near.collect()), key=lambda r: (r["first_key"], r["archive"], r["start"]))
-    firsts, found, index, archives = [r["first_key"] for r in blocks], [], {}, {}
-    for key in keys:
-        safe = re.sub(CONTROL, "%", key)
-        for row in blocks[: bisect_right(firsts, safe)]:
-            if row["last_key"] < safe:
-                continue
-            lines = _block(index, row)
-            own = [x[0] for x in lines]
-            for line in lines[bisect_left(own, safe) : bisect_right(own, safe)]:
-                rec = _decode(_range(archives, row["archive"], int(line[2]), int(line[3])))
-                found.append(dict(zip(("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"), rec, strict=True)) | {"key": key})
-    return found
+    return [r.asDict() for r in find(directory, spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
 
 
 def archive_folder(spark: SparkSession) -> str:
