@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidewell.llm import quality, toxicity
-from tidewell.llm.text_linear import BITS, FITTED_ROWS, Incidence, labelled_sample
+from tidewell.llm.text_linear import BITS, FITTED_ROWS, Incidence, features, labelled_sample
 from tidewell.llm._util import fold_of
 
 SMALL = "/root/testdata/sf0.01"
@@ -39,6 +39,71 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([t == o["predicted"] for t, o in rows]) > 0.9
 
 
+def rates(truth, guess, score):
+    """Recall, precision and the area under the curve of the scores."""
+    truth, guess, score = np.array(truth, bool), np.array(guess, bool), np.array(score)
+    above = (score[truth][:, None] > score[~truth][None, :]).mean() + 0.5 * (score[truth][:, None] == score[~truth][None, :]).mean()
+    return (guess & truth).sum() / truth.sum(), (guess & truth).sum() / max(1, guess.sum()), above
+
+
+def test_recall_and_precision_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marks = {r["doc_id"]: r for r in labels.collect() if held_out(r["doc_id"], 5)}
+    out = [r for r in toxicity.scored(docs, toxicity.train(docs, labels)).filter("held_out").collect() if r["doc_id"] in marks]
+    toxic = rates([marks[r["doc_id"]]["toxic"] for r in out], [r["predicted"] for r in out], [r["score"] for r in out])
+    good = [r for r in quality.scored(docs, quality.train(docs, labels)).filter("held_out").collect() if r["doc_id"] in marks]
+    fine = rates([marks[r["doc_id"]]["quality"] for r in good], [r["selected"] for r in good], [r["tail_probability"] for r in good])
+    bad = rates([not marks[r["doc_id"]]["quality"] for r in good], [not r["selected"] for r in good], [-r["tail_probability"] for r in good])
+    print("toxic", toxic, "quality", fine, "rejected", bad)
+    # A constant has a recall or a precision of 0 for one of the classes, and an area of one half.
+    assert min(toxic) > 0.6 and toxic[2] > 0.9 and min(fine) > 0.8 and min(bad) > 0.7
+
+
+def dense(texts, grams, of):
+    """Documents by features, as one matrix: every n-gram of every word hashed on its own."""
+    x = np.zeros((len(texts), 1 << BITS), np.float32)
+    for k, text in enumerate(texts):
+        for word, weight in of(text).items():
+            for feature, _ in features([word], *grams):
+                np.add.at(x[k], feature, weight)
+    return x
+
+
+def test_toxicity_fit_equals_a_dense_fit(monkeypatch):
+    rng = random.Random(8)
+    rows = [(k % 2, " ".join(rng.choices(["bad", "awful", "nasty"] if k % 2 else ["good", "fine"], k=3) + rng.choices(["the", "of", "house", "é"], k=6))) for k in range(40)]
+    found = toxicity.fit(rows, steps=15)
+    x, y = dense([t for _, t in rows], toxicity.GRAMS, lambda t: dict.fromkeys(toxicity.words_of(t), 1.0)), np.array([float(l) for l, _ in rows])
+    p, q = 1 + x.T @ y, 1 + x.T @ (1 - y)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[(np.abs(ratio) < toxicity.WEAK) | (p + q < toxicity.FEW + 2)] = 0
+    v, b, m, s, mb, sb = np.zeros(1 << BITS), 0.0, 0.0, 0.0, 0.0, 0.0
+    for t in range(1, 16):  # logistic loss, its gradient, Adam
+        slope = 1 / (1 + np.exp(-(x @ (ratio * v) + b))) - y
+        g, gb = (x.T @ slope) * ratio / len(y) + 1e-4 * v / len(y), slope.mean()
+        m, s, mb, sb = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
+        v = v - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+        b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(found.theta, ratio * v, atol=1e-3) and found.bias == pytest.approx(b, abs=1e-4) and np.abs(found.theta).max() > 0.1
+
+
+def test_quality_slopes_equal_differences():
+    """The ordinal fit's loss falls, and its end is where small moves of thresholds no longer lower it."""
+    rng = random.Random(9)
+    rows = [(g, " ".join(rng.choices([["junk"], ["plain"], ["superb"]][g] + ["the", "of"], k=12))) for g in (0, 1, 2) * 30]
+    x, y = dense([t for _, t in rows], quality.GRAMS, quality.make_up), np.array([g for g, _ in rows])
+
+    def loss(model, move=(0.0, 0.0)):
+        cuts = np.concatenate([[-np.inf], np.array(model.thresholds) + move, [np.inf]])
+        z = x @ model.theta.astype(float)
+        return -np.log(1 / (1 + np.exp(-(cuts[y + 1] - z))) - 1 / (1 + np.exp(-(cuts[y] - z)))).mean()
+
+    short, long = quality.fit(rows, steps=5), quality.fit(rows, steps=600)
+    assert loss(long) < loss(short) < np.log(3)
+    for move in ((0.3, 0.0), (-0.3, 0.0), (0.0, 0.3), (0.0, -0.3)):
+        assert loss(long, move) > loss(long) - 1e-3
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     out = {r["doc_id"]: r for r in quality.scored(docs, quality.train(docs, labels)).collect()}

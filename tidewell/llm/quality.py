@@ -6,8 +6,10 @@ of a few markers of its make-up (how varied its words are, how long, how many, h
 the expected grade and the probability of each tail for selection.
 
 Edge cases: null and empty texts have the markers alone; with fewer than two grades among the
-labels every document has that grade; grades are any integers, in their order; repeated rows give
-equal scores; an empty table gives an empty table.
+labels every document has that grade; grades are any integers, in their order; a very long text is
+graded whole; a tail probability equal to the bound is selected; repeated rows give equal scores; a null doc_id is
+graded, and is in the fold of the empty text; an empty table gives an empty table; extra columns are no inputs, and
+``selected`` keeps them, whatever their names.  Of a doc_id that is repeated one text (the greatest) is fitted.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ words.  Each is scaled by the log ratio of its smoothed frequencies in toxic and
 documents, and logistic regression is fitted on the scaled features.
 
 Edge cases: null and empty texts score the intercept alone; without two classes of labels every
-score is the (smoothed) share of toxic labels; repeated rows give equal scores; an empty table
-gives an empty table; labels, lang, source and the id are never inputs of a score.
+score is the (smoothed) share of toxic labels; a very long text is scored whole; a score of one half is
+toxic; repeated rows give equal scores; a null doc_id is scored, and is in the fold of the empty text; an empty table
+gives an empty table; labels, lang, source and the id are never inputs of a score, nor are extra columns,
+whatever their names.  Of a doc_id that is repeated one text (the greatest) is fitted.
 """
 
 from __future__ import annotations
