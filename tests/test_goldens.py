@@ -19,33 +19,29 @@ def ints(spark, *items):
     return collection.literal(spark, items, "long", "v")
 
 
-def test_users_scores(spark):
-    users = collection.literal(spark, [("alice", 30, 85), ("bob", 17, 92), ("carol", 25, 78), ("dave", 45, 90)], "name string, age long, score long")
-    adults = Comprehension(u=users).where(lambda r: r.u.age >= 18)
-    assert adults.select(s=lambda r: r.u.score).agg(total("s")).first()[0] == 253
-    assert bag(adults.select(n=lambda r: r.u.name)) == [("alice",), ("carol",), ("dave",)]
+def test_filter_and_sum(spark):
+    nation = spark.read.parquet(f"{SMALL}/nation.parquet")
+    rows = [r.asDict() for r in nation.collect()]
+    some = Comprehension(n=nation).where(lambda r: r.n.n_regionkey >= 3)
+    assert some.select(k=lambda r: r.n.n_nationkey).agg(total("k")).first()[0] == sum(r["n_nationkey"] for r in rows if r["n_regionkey"] >= 3)
+    assert bag(some.select(n=lambda r: r.n.n_name)) == sorted((r["n_name"],) for r in rows if r["n_regionkey"] >= 3)
 
 
 def test_inner_join_drops_unmatched(spark):
-    users = collection.literal(spark, [(1, "alice"), (2, "bob"), (3, "carol")], "id long, name string")
-    orders = collection.literal(spark, [(1, 50), (2, 75), (1, 100), (99, 999)], "user_id long, amount long")
-    got = Comprehension(u=users, o=orders).where(lambda r: r.u.id == r.o.user_id).select(n=lambda r: r.u.name, a=lambda r: r.o.amount)
-    assert bag(got) == [("alice", 100), ("alice", 50), ("bob", 75)]
-
-
-@pytest.mark.parametrize(
-    "left, right, guard, want",
-    [
-        ([1, 1], [2, 2, 3], lambda r: r.x.v + 1 == r.y.v, [3, 3, 3, 3]),
-        ([1, 3], [1, 2, 3], lambda r: r.x.v == r.y.v, [2, 6]),
-        ([1, 2], [10, 20], lambda r: r.x.v == scalars.int_div(r.y.v, F.lit(10)), [11, 22]),
-        ([1, 2], [3, 4], lambda r: r.x.v + r.y.v == 5, [5, 5]),
-        ([1], [2], lambda r: r.x.v == r.y.v, []),
-    ],
-)
-def test_join_sums(spark, left, right, guard, want):
-    got = Comprehension(x=ints(spark, *left), y=ints(spark, *right)).where(guard).select(s=lambda r: r.x.v + r.y.v)
-    assert [r[0] for r in bag(got)] == want
+    customers, orders = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("customer", "orders"))
+    few = customers.filter("c_custkey % 3 = 1")
+    got = Comprehension(c=few, o=orders).where(lambda r: r.c.c_custkey == r.o.o_custkey).select(n=lambda r: r.c.c_name, o=lambda r: r.o.o_orderkey)
+    name = {r["c_custkey"]: r["c_name"] for r in few.collect()}
+    assert bag(got) == sorted(((name[r["o_custkey"]], r["o_orderkey"]) for r in orders.collect() if r["o_custkey"] in name), key=str)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-6, 6), max_size=7), st.lists(st.integers(-6, 6), max_size=7))
+def test_join_sums(spark, left, right):
+    rows = lambda xs: spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "pos long, v long")
+    for guard, holds in ((lambda r: r.x.v + 2 == r.y.v, lambda x, y: x + 2 == y), (lambda r: r.x.v * r.y.v > 3, lambda x, y: x * y > 3)):
+        got = Comprehension(x=rows(left), y=rows(right)).where(guard).select(s=lambda r: r.x.v * 10 + r.y.v)
+        assert bag(got) == sorted(((x * 10 + y,) for x in left for y in right if holds(x, y)), key=str)
 
 
 def test_equality_is_a_hash_or_merge_join(spark):
@@ -55,12 +51,12 @@ def test_equality_is_a_hash_or_merge_join(spark):
 
 
 def test_groups(spark):
-    half = Groups(ints(spark, 2, 3, 4, 5), k=scalars.int_div(F.col("v"), F.lit(2)))
-    assert bag(half.agg(s=total("v"))) == [(1, 5), (2, 9)]
-    same = Groups(ints(spark, 1, 1, 2, 2, 3), k=F.col("v"))
-    assert same.lookup_agg(2, s=total("v")).first()[0] == 4
-    assert same.lookup_agg(9, s=total("v")).first()[0] == 0
-    assert same.lookup(9).count() == 0
+    items = [(7 * k) % 11 - 4 for k in range(30)]
+    by = Groups(ints(spark, *items), k=F.pmod(F.col("v"), F.lit(4)))
+    assert bag(by.agg(s=total("v"))) == sorted((k, sum(x for x in items if x % 4 == k)) for k in {x % 4 for x in items})
+    assert by.lookup_agg(3, s=total("v")).first()[0] == sum(x for x in items if x % 4 == 3)
+    assert by.lookup_agg(77, s=total("v")).first()[0] == 0 and by.lookup(77).count() == 0
+    assert bag(by.entries(F.col("v")).select("k", F.size("group"))) == sorted((k, sum(x % 4 == k for x in items)) for k in {x % 4 for x in items})
 
 
 def test_empty_aggregates(spark):
@@ -157,9 +153,61 @@ def guarded(tx, row):
         tx.reply("said", tx["pool"])
 
 
-@pytest.mark.parametrize("writers, want", [([([10, 20, 30], take)], 40), ([([30], take), ([40], take)], 30), ([([10, 20], take), ([5, 15], take)], 50), ([([60, 60], guarded)], 40)])
-def test_pool(spark, writers, want):
-    assert pool(spark, *writers).await_final("pool").first()[0] == want
+@pytest.mark.parametrize("writers", [[([7, 0, 31], take)], [([13], take), ([29], take)], [([3, 8], take), ([21, 17], take)], [([45, 70, 12], guarded), ([40], take)]])
+def test_pool(spark, writers):
+    order = sorted((k, n, x, body) for n, (rows, body) in enumerate(writers) for k, x in enumerate(rows)) if len({b for _, b in writers}) == 1 else [(k, n, x, writers[n][1]) for k, n, x in sorted((k, n, x) for n, (rows, _) in enumerate(writers) for k, x in enumerate(rows))]
+    state, _ = serial({"pool": 90}, [(body, {"v": x}) for _, _, x, body in order], frozenset(["pool"]))
+    assert pool(spark, *writers, start=90).await_final("pool").first()[0] == state["pool"]
+
+
+def test_keys_without_a_commit_keep_the_initial_value(spark):
+    rows = spark.createDataFrame([("a", 1, 500), ("b", 1, 20), (None, 1, 30), ("a", 2, 700)], "k string, pos long, v long")
+    store = Transactions({"pool": ("long", 100)}, by="k").writer(rows, "pos", ["pool"], guarded)
+    assert bag(store.await_final("pool")) == sorted([("a", 100), ("b", 80), (None, 70)], key=str)
+
+
+def test_seeds(spark):
+    seed = spark.createDataFrame([("a", 5), ("b", 50)], "k string, pool long")
+    rows = spark.createDataFrame([("a", 1, 9), ("b", 1, 9), ("b", 2, 30)], "k string, pos long, v long")
+    keyed = Transactions({"pool": ("long", seed)}, by="k").writer(rows, "pos", ["pool"], guarded)
+    assert bag(keyed.await_final("pool")) == [("a", 5), ("b", 11)]
+    one = Transactions({"pool": ("long", seed.filter("k = 'b'"))}).writer(rows, "pos", ["pool"], guarded, position="v")
+    assert one.await_final("pool").first()[0] == 2
+    with pytest.raises(Exception, match="2 rows where one was meant"):
+        Transactions({"pool": ("long", seed)}).writer(rows, "pos", ["pool"], guarded).await_final("pool").collect()
+    with pytest.raises(TransactionError, match="lacks"):
+        Transactions({"pool": ("long", seed.drop("k"))}, by="k")
+
+
+def test_equal_arrivals_replay_alike(spark):
+    rows = [("x", 1, k) for k in range(12)]
+
+    def body(tx, row):
+        tx["pool"] = tx["pool"] * 3 + row["v"]
+
+    ends = set()
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        df = spark.createDataFrame(order, "k string, pos long, v long").repartition(3)
+        ends.add(Transactions({"pool": ("long", 1)}).writer(df, "pos", ["pool"], body).await_final("pool").first()[0])
+        by_position = Transactions({"pool": ("long", 1)}).writer(df, "pos", ["pool"], body, position="v").await_final("pool").first()[0]
+        want = 1
+        for k in range(12):
+            want = want * 3 + k
+        assert by_position == want
+    assert len(ends) == 1
+
+
+def test_choice_by_a_null_condition(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "v long, c boolean")
+    got = bags.choose(F.col("c"), rows, rows.withColumn("v", -F.col("v")))
+    assert sorted(r["v"] for r in got.collect()) == [-3, -2, 1]
+
+
+def test_a_chain_of_many_hops(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long")
+    assert fixpoint.reachable(edges).count() == 70 * 71 // 2
+    step = lambda fresh: fresh.filter("dst < 12").selectExpr("src", "dst + 1 AS dst")
+    assert fixpoint.fixpoint(spark.createDataFrame([(0, 0)], "src long, dst long"), step).count() == 13
 
 
 def test_replies_have_ticks_of_commits(spark):

@@ -54,6 +54,41 @@ def test_state_lives_between_batches(spark, tmp_path):
     assert max(r["x"] for r in got.collect()) == 50
 
 
+def test_positions_out_of_order(spark, tmp_path):
+    arrive(spark, tmp_path / "p", [(5, 50), (1, 10)], [(0, 7), (3, 30)], [(2, 20)], [(2, 99), (4, 40)])
+
+    def step(state, row):
+        state["x"] = state["x"] * 2 + row["v"]
+        return row["key"], state["x"]
+
+    stream = arriving(spark, str(tmp_path / "p"), "key long, v long", files_at_once=1).withColumn("all", F.lit(1))
+    got = live.drained(live.stateful(stream, ["all"], ["key"], {"x": 0}, step, "x long", "key long, x long", position="key"))
+    want, x = [], 0
+    for key, v in enumerate([7, 10, 20, 30, 40, 50]):
+        x = x * 2 + v
+        want.append((1, key, x))
+    assert bag(got) == want
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    schema = "k long, t timestamp, v long"
+    for rows in ([(1, 5, 50), (1, 1, 10)], [(1, 3, 30)], [(1, 60, 1)], [(1, 120, 2)], [(1, 300, 3)]):
+        made = spark.createDataFrame([(k, v, t) for k, t, v in rows], "k long, v long, t long").selectExpr("k", "timestamp_seconds(t) AS t", "v")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "w"))
+
+    def step(state, row):
+        state["x"] = state["x"] * 2 + row["v"]
+        return row["v"], state["x"]
+
+    stream = arriving(spark, str(tmp_path / "w"), schema, files_at_once=1)
+    got = live.drained(live.stateful(stream, ["k"], ["t"], {"x": 0}, step, "x long", "v long, x long", time="t", lateness="30 seconds"))
+    want, x = [], 0
+    for v in (10, 30, 50, 1, 2):
+        x = x * 2 + v
+        want.append((1, v, x))
+    assert bag(got) == sorted(want, key=str)
+
+
 def test_formats(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string")
     for kind in ("parquet", "orc", "csv", "json"):

@@ -467,6 +467,237 @@ def text_groups(spark, sf):
     return Text(spark, nation=table(spark, sf, "nation")).run("[rec(region=key(g), keys=sum([n.n_nationkey for n in g]), last=max([n.n_name for n in g])) for g in groupby(nation, lambda n: n.n_regionkey) if count(g) > 2]")
 
 
+def _text(spark, sf, *names: str) -> Text:
+    """Tables as sources, with positions where the first column is a key from 0."""
+    rows = {n: table(spark, sf, n) for n in names}
+    return Text(spark, **{n: df.withColumn("pos", F.col(df.columns[0]).cast("long")) if n in ("nation", "region") else df for n, df in rows.items()})
+
+
+@query("SELECT p_partkey AS k, CAST(CASE WHEN p_size > 40 THEN p_size * 10 ELSE 1 END AS BIGINT) AS fee FROM part")
+def text_variants(spark, sf):
+    return _text(spark, sf, "part").run("""
+def sized(p):
+    return `big(p.p_size) if p.p_size > 40 else `small
+
+def fee(v):
+    match v:
+        case `big(n): n * 10
+        case `small: 1
+
+[rec(k=p.p_partkey, fee=fee(sized(p))) for p in part]
+""")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'medium' ELSE 'small' END AS label FROM part")
+def text_functions(spark, sf):
+    return _text(spark, sf, "part").run("""
+def label(p):
+    if p.p_size > 40:
+        return "large"
+    found = "medium" if p.p_size > 20 else "small"
+    return found
+
+[rec(k=p.p_partkey, label=label(p)) for p in part]
+""")
+
+
+@query("SELECT 'high' AS side, CAST(c_custkey AS BIGINT) AS k FROM customer WHERE c_custkey > 75 UNION ALL SELECT 'low', CAST(c_custkey AS BIGINT) FROM customer WHERE c_custkey > 10 AND c_custkey <= 75 UNION ALL SELECT 'low', CAST(0 AS BIGINT)")
+def text_feeds(spark, sf):
+    return _text(spark, sf, "customer").run("""
+low = defer()
+high = defer()
+for c in customer:
+    if c.c_custkey > 75:
+        high << c.c_custkey
+    elif c.c_custkey > 10:
+        low << c.c_custkey
+low << 0
+[rec(side="high", k=k) for k in high] ++ [rec(side="low", k=k) for k in low]
+""")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS c FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 100 UNION ALL SELECT CAST(-o_custkey AS BIGINT) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 100")
+def text_generator(spark, sf):
+    return _text(spark, sf, "orders").run("""
+def open_orders(os, least: Int):
+    for o in os:
+        if o.o_orderstatus == "O" and o.o_orderkey > least:
+            yield o.o_custkey
+            yield 0 - o.o_custkey
+
+[rec(c=c) for c in open_orders(orders, 100)]
+""")
+
+
+@query("WITH RECURSIVE f AS (SELECT CAST(-1 AS BIGINT) AS i, CAST(7 AS BIGINT) AS acc UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(CASE WHEN n_regionkey = 1 THEN acc * 3 - n_nationkey ELSE acc + 1 END AS BIGINT) FROM f JOIN nation ON n_nationkey = i + 1) SELECT max_by(acc, i) AS value FROM f")
+def text_ordered_fold(spark, sf):
+    return _text(spark, sf, "nation").run("""
+acc := 7
+for n in nation:
+    if n.n_regionkey == 1:
+        acc = acc * 3 - n.n_nationkey
+    else:
+        acc += 1
+acc
+""")
+
+
+@query("SELECT CAST(sum(o_custkey) * 1000 + count(*) AS BIGINT) AS value FROM orders WHERE o_orderstatus = 'F'")
+def text_sums(spark, sf):
+    return _text(spark, sf, "orders").run("""
+n = 0
+keys = 0
+for o in orders:
+    if o.o_orderstatus == "F":
+        n += 1
+        keys += o.o_custkey
+keys * 1000 + n
+""")
+
+
+POOL_SQL = """
+WITH RECURSIVE ops AS (SELECT n_nationkey AS pos, 0 AS w, 2 * n_nationkey AS amount, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 1, r_regionkey, NULL FROM region),
+o AS (SELECT *, row_number() OVER (ORDER BY pos, w) AS i FROM ops),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(200 AS BIGINT) AS pool, false AS did, CAST(NULL AS VARCHAR) AS name
+UNION ALL SELECT o.i, CAST(CASE WHEN w = 1 THEN pool + amount WHEN pool >= amount THEN pool - amount ELSE pool END AS BIGINT), w = 0 AND pool >= amount, o.name FROM f JOIN o ON o.i = f.i + 1)
+"""
+POOL_TEXT = """
+pool: Mut(Int, Txn) := 200
+granted: Mut(Int, Txn) := 0
+said = defer()
+for n in nation:
+    with begin():
+        if pool >= n.n_nationkey * 2:
+            pool -= n.n_nationkey * 2
+            granted += 1
+            said << rec(nation=n.n_name, rest=pool)
+for r in region:
+    with begin():
+        pool += r.r_regionkey
+"""
+
+
+@query(POOL_SQL + "SELECT name AS nation, pool AS rest FROM f WHERE did")
+def text_transactions(spark, sf):
+    return _text(spark, sf, "nation", "region").run(POOL_TEXT + "[rec(nation=s.nation, rest=s.rest) for s in said]")
+
+
+@query(POOL_SQL + "SELECT CAST(max_by(pool, i) * 100 + count(*) FILTER (did) AS BIGINT) AS value FROM f")
+def text_await_final(spark, sf):
+    return _text(spark, sf, "nation", "region").run(POOL_TEXT + "await_final(pool) * 100 + await_final(granted)")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 2")
+def text_tuples(spark, sf):
+    return _text(spark, sf, "nation").run("""
+pairs = [(n.n_nationkey, n.n_name) for n in nation if n.n_regionkey == 2]
+[rec(k=k, name=name) for k, name in pairs]
+""")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 1")
+def text_cond_collection(spark, sf):
+    return _text(spark, sf, "nation").run("""
+def names(of):
+    [rec(name=n.n_name) for n in nation if n.n_regionkey == of]
+
+names(1) if count(nation) > 20 else names(2)
+""")
+
+
+# --- operators on their own --------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1")
+def feed_defined(spark, sf):
+    feed = bags.Feed("late")
+    return feed.define(lambda: table(spark, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("k"))).read()
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (event_type = 'signup') AS joined, count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS other FROM events GROUP BY user_id")
+def txn_routing(spark, sf):
+    def route(tx, row):
+        if row["event_type"] == "purchase":
+            tx["bought"] += 1
+        elif row["event_type"] == "signup":
+            tx["joined"] += 1
+        else:
+            tx["other"] += 1
+
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    names = ["bought", "joined", "other"]
+    store = Transactions({n: ("long", 0) for n in names}, by="user_id").writer(e, "event_id", names, route)
+    log = store.committed()
+    a, b, c = (store.await_final(n, log) for n in names)
+    return a.join(b, "user_id").join(c, "user_id")
+
+
+@query("SELECT n_regionkey AS region, CAST(sum(n_nationkey) AS BIGINT) AS mirror FROM nation GROUP BY n_regionkey")
+def txn_read_your_writes(spark, sf):
+    def body(tx, row):
+        tx["seen"] += row["n_nationkey"]
+        tx["mirror"] = tx["seen"]
+
+    n = table(spark, sf, "nation").withColumn("region", F.col("n_regionkey"))
+    return Transactions({"seen": ("long", 0), "mirror": ("long", -1)}, by="region").writer(n, "n_nationkey", ["seen", "mirror"], body).await_final("mirror")
+
+
+@query("SELECT r_regionkey AS region, CAST(10 + (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) - r_regionkey AS BIGINT) AS pool FROM region")
+def txn_phases(spark, sf):
+    """The second store starts from what the first one ended with."""
+
+    def add(tx, row):
+        tx["pool"] += row["n_nationkey"]
+
+    def take(tx, row):
+        tx["pool"] -= row["r_regionkey"]
+
+    n, r = table(spark, sf, "nation").withColumn("region", F.col("n_regionkey")), table(spark, sf, "region").withColumn("region", F.col("r_regionkey"))
+    first = Transactions({"pool": ("long", 10)}, by="region").writer(n, "n_nationkey", ["pool"], add)
+    second = Transactions({"pool": ("long", first.await_final("pool"))}, by="region").writer(r, "r_regionkey", ["pool"], take)
+    return second.await_final("pool")
+
+
+@query("SELECT CAST(sum(run) AS BIGINT) AS seen FROM (SELECT sum(n_nationkey) OVER (ORDER BY n_nationkey) AS run FROM nation)")
+def txn_reads_running(spark, sf):
+    """A transaction that reads a running sum of its loop."""
+
+    def body(tx, row):
+        tx["seen"] += row["run"]
+
+    rows = fold.running(table(spark, sf, "nation"), ["n_nationkey"], run=F.sum("n_nationkey"))
+    return Transactions({"seen": ("long", 0)}).writer(rows, "n_nationkey", ["seen"], body).await_final("seen")
+
+
+@query("SELECT n_regionkey AS region, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY n_regionkey")
+def compound_accumulator(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").cast("long").alias("key"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("keys"))
+    step = lambda acc, row: {"acc": F.struct((acc["acc"]["n"] + 1).alias("n"), (acc["acc"]["keys"] + row["key"]).alias("keys"))}
+    return fold.fold(n, ["key"], {"acc": zero}, step, by=["region"]).select("region", "acc.n", "acc.keys")
+
+
+@query("SELECT r_regionkey AS r, CAST(i AS BIGINT) AS i FROM region, range(3) t(i)")
+def product_domain(spark, sf):
+    return collection.product(table(spark, sf, "region").select(F.col("r_regionkey").alias("r")), collection.extent(spark, 3).withColumnRenamed("pos", "i"))
+
+
+@query("SELECT n_nationkey AS k, CAST((SELECT count(*) FROM nation) AS BIGINT) AS n FROM nation")
+def one_row_value(spark, sf):
+    n = table(spark, sf, "nation")
+    return collection.with_scalar(n.select(F.col("n_nationkey").alias("k")), n.agg(size().alias("n")), n="n")
+
+
+@query("SELECT p_partkey AS k, p_size - p_size // 4 AS paid FROM part")
+def contract_checked(spark, sf):
+    @refine.contract(requires={"discount": refine.NON_NEGATIVE}, ensures=lambda r, price, discount: r <= price)
+    def paid(price, discount):
+        return price - discount
+
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("k"), paid(price=F.col("p_size"), discount=scalars.int_div(F.col("p_size"), F.lit(4))).alias("paid"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
