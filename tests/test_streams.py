@@ -1,6 +1,9 @@
 """Streams against batch plans over the same rows, and the HTTP edge."""
 
+import io
+import os
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.aggregate import Groups, total
 from tidewell.sources.http import HttpSource
+from tidewell.sources.spool import Stdin
 from tidewell.sources.tables import arriving, files, lines
 from tidewell.streaming import live
 
@@ -122,6 +126,64 @@ def test_http(spark):
     assert said == {1: "2", 2: "4"}
 
 
+def test_http_fold_replies_to_each(spark):
+    """Each request is answered with all bodies of its route so far, over many micro-batches."""
+    http = HttpSource(timeout=90).route("POST", "/a").route("POST", "/b")
+
+    def step(state, row):
+        state["text"] += row["body"]
+        return row["request_id"], state["text"]
+
+    replies = live.stateful(http.stream(spark), ["path"], [], {"text": ""}, step, "text string", "request_id long, body string", position="nth")
+    query = live.delivered(replies, http.reply)
+
+    def ask(path, body):
+        request = urllib.request.Request(f"http://127.0.0.1:{http.port}{path}", data=body.encode(), method="POST")
+        return urllib.request.urlopen(request).read().decode()
+
+    try:
+        assert [ask("/a", "x"), ask("/b", "é"), ask("/a", "yz"), ask("/b", "")] == ["x", "é", "xyz", "é"]
+        said = []
+        clients = [threading.Thread(target=lambda n=n: said.append(ask("/a", str(n)))) for n in range(4)]
+        for c in clients:
+            c.start()
+        for c in clients:
+            c.join()
+        # Whatever their order, each saw those before it and itself.
+        said.sort(key=len)
+        assert [len(s) for s in said] == [4, 5, 6, 7] and all(b.startswith(a) for a, b in zip(said, said[1:]))
+    finally:
+        query.stop()
+        http.close()
+    assert http.rows(spark).count() == 0
+
+
+def test_stdin_lines_arrive_while_it_is_open(spark):
+    read, write = os.pipe()
+    source = Stdin(spark, os.fdopen(read, encoding="utf-8"))
+    seen = []
+    query = live.delivered(source.stream(), lambda df: seen.extend(map(tuple, df.collect())))
+    try:
+        os.write(write, "first\n".encode())
+        until = time.monotonic() + 60
+        while not seen and time.monotonic() < until:
+            time.sleep(0.05)
+        assert seen == [(0, "first")] and not source.wait(0)
+        os.write(write, "\nzwölf \"quoted\"\nno line feed".encode())
+        os.close(write)
+        assert source.wait(60)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    want = [(0, "first"), (1, ""), (2, 'zwölf "quoted"'), (3, "no line feed")]
+    assert sorted(seen) == want and bag(live.drained(source.stream())) == want
+
+
+def test_stdin_without_lines(spark):
+    source = Stdin(spark, io.StringIO(""))
+    assert source.wait(60) and bag(live.drained(source.stream())) == []
+
+
 def test_replies_are_matched_by_request(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "request_id long, body string").coalesce(1).write.parquet(str(tmp_path / "r"))
     stream = arriving(spark, str(tmp_path / "r"), "request_id long, body string")

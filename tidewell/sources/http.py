@@ -1,16 +1,22 @@
 """A thin HTTP adapter: requests become rows, replies are matched by request_id.
 
-The server is for the edge, not for data: bodies are kept in memory until ``rows`` takes them.
+The server is for the edge, not for data.  ``stream`` gives the requests as a streaming source;
+without it, bodies are kept in memory until ``rows`` takes them.
 """
 
 from __future__ import annotations
 
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "request_id long, method string, path string, body string"
+from tidewell.sources.spool import Spool
+
+#: ``nth`` numbers the requests of a route 0, 1, 2, ...
+SCHEMA = "request_id long, method string, path string, nth long, body string"
+COLUMNS = ("request_id", "method", "path", "nth", "body")
 
 
 class HttpSource:
@@ -19,7 +25,9 @@ class HttpSource:
     def __init__(self, port: int = 0, timeout: float = 30.0):
         self.routes: set[tuple[str, str]] = set()
         self._waiting: dict[int, tuple[threading.Event, list[str]]] = {}
-        self._rows: list[tuple[int, str, str, str]] = []
+        self._rows: list[tuple[int, str, str, int, str]] = []
+        self._asked: Counter[tuple[str, str]] = Counter()
+        self._spool: Spool | None = None
         self._lock, self._next, self._timeout = threading.Lock(), 0, timeout
         source = self
 
@@ -55,7 +63,12 @@ class HttpSource:
         with self._lock:
             number, self._next = self._next, self._next + 1
             self._waiting[number] = (event, said)
-            self._rows.append((number, method, path, body))
+            row = (number, method, path, self._asked[method, path], body)
+            self._asked[method, path] += 1
+            if self._spool:
+                self._spool.put(dict(zip(COLUMNS, row, strict=True)))
+            else:
+                self._rows.append(row)
         event.wait(self._timeout)
         with self._lock:
             self._waiting.pop(number, None)
@@ -67,6 +80,19 @@ class HttpSource:
             rows, self._rows = self._rows, []
         return spark.createDataFrame(rows, SCHEMA)
 
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """The requests as a stream, those that ``rows`` has not taken and all that come until ``close``.
+
+        Every request is a row of the stream, and ``rows`` has none from then on.
+        """
+        with self._lock:
+            if self._spool is None:
+                self._spool = Spool(spark, SCHEMA, "requests")
+                for row in self._rows:
+                    self._spool.put(dict(zip(COLUMNS, row, strict=True)))
+                self._rows = []
+        return self._spool.stream()
+
     def reply(self, replies: DataFrame) -> None:
         """Answer the waiting requests; replies to others are ignored."""
         for number, body in replies.select("request_id", "body").toLocalIterator():
@@ -79,3 +105,5 @@ class HttpSource:
     def close(self) -> None:
         self._server.shutdown()
         self._server.server_close()
+        if self._spool:
+            self._spool.close()

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.sources.package import shipped
@@ -117,6 +118,16 @@ def replying(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], sink
     requests.writeStream.foreachBatch(deliver).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def delivered(stream: DataFrame, sink: Callable[[DataFrame], None], name: str = "delivered") -> StreamingQuery:
+    """``sink`` takes the micro-batches of a stream as they come, until the query that is returned is stopped.
+
+    With ``stateful`` before it this is a fold over requests with a reply to each.  A batch that is run
+    again after a failure is the same; a sink should take a second reply to a request_id as the first.
+    """
+    state = shared_path(stream.sparkSession, f"{name}-state")
+    return stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", state).start()
+
+
 def windowed(stream: DataFrame, time: str, width: str, lateness: str, by: list[str] | None = None, slide: str | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates of tumbling or sliding windows of event time; late rows beyond the watermark are left out."""
     span = F.window(time, width, slide) if slide else F.window(time, width)
