@@ -185,12 +185,44 @@ with begin():
     assert values(text, program + "await_final(left) - await_final(log)") == [left - log]
 
 
+def test_a_final_value_seeds_a_later_phase(text, rows):
+    """The second store starts from what the first ended with; the third has nothing to do with either."""
+    program = """
+open: Mut(Int, Txn) := 40
+apart: Mut(Int, Txn) := 1
+for n in nation:
+    with begin():
+        if n.n_nationkey < open:
+            open -= 3
+later: Mut(Int, Txn) := await_final(open) * 10
+told = defer()
+for r in region:
+    with begin():
+        later = later * 2 - r.r_regionkey
+        told << later
+for r in region:
+    with begin():
+        apart += r.r_regionkey
+"""
+    left, apart, told = 40, 1 + sum(r["r_regionkey"] for r in rows["region"]), []
+    for n in sorted(rows["nation"], key=lambda n: n["n_nationkey"]):
+        left -= 3 * (n["n_nationkey"] < left)
+    later = left * 10
+    for r in sorted(rows["region"], key=lambda r: r["r_regionkey"]):
+        later = later * 2 - r["r_regionkey"]
+        told.append(later)
+    assert values(text, program + "await_final(later) * 1000 + await_final(apart)") == [later * 1000 + apart]
+    same(values(text, program + "told"), told)
+
+
 @pytest.mark.parametrize("program, says", [
     ("x", "not defined"), ("1 + 'a'", "not for"), ("[1, 'a']", "one type"), ("max([True])", "not for"), ("1 < 'a'", "compared"), ("nation.gone", "scalar"), ("[n.gone for n in nation]", "no field"),
     ("for x in [1]:\n    y += x\n1", "initial value"), ("while True: pass", "not part"), ("1 +", "line 1"), ("x = 1", "last line"), ("1 / 2", "not for"), ("if True:\n    1", "every branch"), ("'a", "does not end"),
     ("match 3:\n    case `a: 1", "tagged"), ("match `a(1):\n    case `a: 1", "a value"), ("match `a:\n    case `a(x): 1", "no value"), ("match `a:\n    case `b: 1", "no case"), ("match `a:\n    case `a: 1\n    case `a: 2", "second case"), ("match `a:\n    case _: 1\n    case `a: 2", "last"),
     ("h = defer()\nh", "nothing was put"), ("x = 1\nx << 2", "deferred"), ("h = defer()\nh << 1\nh << 'a'\nh", "one type"), ("h = defer()\nh <<= [1]\nh <<= [2]\nh", "twice"),
     ("x: Mut(Int, Txn) := 1\nx", "await_final"), ("x: Mut(Int, Txn) := 1\nx = 2\n1", "transactions alone"), ("x: Mut(Int, Txn) := 1\nfor r in region:\n    with begin():\n        with begin():\n            x += 1\n1", "nest"), ("x: Mut(Int, Txn) := 1\nwith begin():\n    x = 'a'\nawait_final(x)", "bigint"),
+    ("x: Mut(Int, Txn) := 1\nwith begin():\n    x += 1\ny = await_final(x)\nwith begin():\n    x += y\ny", "read already, with 'x'"),
+    ("x: Mut(Int, Txn) := 1\nz: Mut(Int, Txn) := 1\nwith begin():\n    x += z\ny = await_final(x)\nwith begin():\n    z += 1\ny", "read already, with 'z'"),
     ("x: Int := 1\nx", "go together"), ("def f(n: Int): return n\nf('a')", "bigint"), ("def f(n): return n\nf(1, 2)", "arguments"), ("a, b = (1, 2, 3)\na", "names"),
 ])
 def test_mistakes_name_their_line(text, program, says):

@@ -18,11 +18,13 @@ what changes, and ``<<`` for feeds.  A program is a list of statements and a las
 * folds: ``acc = 0`` (or ``:=``) then ``for x in xs:`` with ``acc = e``, ``acc += e``, ``if`` and ``match``
 * feeds: ``h = defer()``, then ``h << e``, also in loops and under conditions, or once ``h <<= xs``
 * transactions: ``x: Mut(Int, Txn) := e``, then ``with begin():`` in a loop or alone; ``await_final(x)``; a feed in
-  the block is a reply of the commit, in the order of the source's positions and of the program's blocks
+  the block is a reply of the commit, in the order of the source's positions and of the program's blocks; a final
+  value may seed a later variable, whose blocks are a phase after it
 
 Every mistake that can be told from the text is a TextError that names its line; statements go on after a
-mistake, so that one error names all that do not depend on each other.  Nothing runs while a program is built:
-aggregates, folds and final values are one-row subqueries of the plan.
+mistake, so that one error names all that do not depend on each other.  Nothing runs while a program is built,
+but for the replay of a store when its final values or replies are first read: aggregates, folds and final values
+are one-row subqueries of the plan.
 """
 
 from __future__ import annotations
@@ -220,7 +222,7 @@ class Text:
         self.shared: dict[str, tuple[T.DataType, DataFrame]] = {}
         self.writers: list[tuple] = []
         self.replies: dict[str, Channel] = {}
-        self._store: Transactions | None = None
+        self.sealed: dict[str, tuple[Transactions, DataFrame | None]] = {}
         scope, result, faults, broken = dict(self.scope), None, [], set()
         for statement in made.tree.body:
             if broken & {x.id for x in ast.walk(statement) if isinstance(x, ast.Name)}:
@@ -463,7 +465,7 @@ class Text:
 
     def _read(self, e: ast.AST, channel: Channel) -> Coll:
         if channel.replies:
-            self._committed()
+            self._committed(next(k for k, c in self.replies.items() if c is channel))
         try:
             return Coll(channel.feed.read(), channel.record)
         except FeedError as fault:
@@ -543,8 +545,6 @@ class Text:
             raise self._fail(s, "a block opens with 'with begin():'")
         if any(isinstance(x, ast.With) for b in s.body for x in ast.walk(b)):
             raise self._fail(s, "transactions do not nest")
-        if self._store is not None:
-            raise self._fail(s, "the store was read already")
         own, statements = dict(scope), list(s.body)
         if loop is not None:
             if not isinstance(loop.target, ast.Name):
@@ -567,13 +567,15 @@ class Text:
         replied = self._check(statements, own | {n: Val(F.lit(None).cast(scope[n].kind), scope[n].kind) for n in touches}, scope, set(touches))
         if not touches:
             raise self._fail(s, "a block touches a variable of transactions")
+        if gone := sorted({*touches, *replied} & self.sealed.keys()):
+            raise self._fail(s, f"the store was read already, with {', '.join(map(repr, gone))}")
         item = loop.target.id if loop is not None else None
         outer = {n: f"_outer_{n}" for n in sorted(set(ready)) if isinstance(scope.get(n), Val) and n != item}
         rows = coll.df if coll is not None else self.spark.range(1).select(F.lit(0).cast("long").alias(POSITION))
         fields = [c for c in coll.df.columns if c != POSITION] if coll is not None else []
         rows = rows.select(*rows.columns, *(scope[n].col.alias(c) for n, c in outer.items()))
         body = Body(statements, item, coll.record if coll is not None else False, fields, outer, routines, frozenset(touches), frozenset(replied))
-        self.writers.append((rows, touches, body))
+        self.writers.append((rows, touches, replied, body))
         for name in replied:
             channel = scope[name]
             if name not in self.replies:
@@ -611,16 +613,29 @@ class Text:
                 raise self._fail(s, "a block has writes, conditions and replies")
         return replied
 
-    def _committed(self) -> tuple[Transactions, DataFrame]:
-        if self._store is None:
-            store = Transactions({k: (kind.simpleString(), seed) for k, (kind, seed) in self.shared.items()}, {k: c.kind.simpleString() for k, c in self.replies.items()})
-            for rows, touches, body in self.writers:
+    def _related(self, name: str) -> set[str]:
+        """The variables and feeds that blocks so far relate to ``name``, itself included."""
+        found, before = {name}, set()
+        while found != before:
+            before = set(found)
+            for _, touches, replied, _ in self.writers:
+                if found & {*touches, *replied}:
+                    found |= {*touches, *replied}
+        return found
+
+    def _committed(self, name: str) -> tuple[Transactions, DataFrame | None]:
+        """The store of a variable or feed, and its log; it takes no more blocks, other stores do."""
+        if name not in self.sealed:
+            own = self._related(name)
+            store = Transactions({k: (kind.simpleString(), seed) for k, (kind, seed) in self.shared.items() if k in own}, {k: c.kind.simpleString() for k, c in self.replies.items() if k in own})
+            writers = [w for w in self.writers if own.intersection(w[1])]
+            for rows, touches, _, body in writers:
                 store.writer(rows, POSITION, touches, body)
-            self._store, self._log = store, store.committed() if self.writers else None
-        return self._store, self._log
+            self.sealed |= dict.fromkeys(own, (store, store.committed() if writers else None))
+        return self.sealed[name]
 
     def _replied(self, name: str, channel: Channel) -> DataFrame:
-        store, log = self._committed()
+        store, log = self._committed(name)
         said = store.replies(name, log).select(F.col("value").alias(VALUE))
         return self._made(said, Val(F.col(VALUE), channel.kind), []).df
 
@@ -629,7 +644,7 @@ class Text:
         if not isinstance(x, ast.Name) or not isinstance(scope.get(x.id), Shared):
             raise self._fail(e, "'await_final' is of a variable of transactions")
         own = scope[x.id]
-        store, log = self._committed()
+        store, log = self._committed(own.name)
         rows = store.await_final(own.name, log) if log is not None else self.shared[own.name][1]
         return Val(rows.select(own.name).scalar(), own.kind)
 
