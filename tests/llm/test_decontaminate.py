@@ -101,6 +101,14 @@ def test_rows_without_an_id_go_by_their_own_texts(spark):
     assert sorted(map(str, (r["text"] for r in dc.clean(rows, bench).collect()))) == ["None", "a b c", "nothing here at all to see"]
 
 
+def test_clean_rows_of_a_leaking_id_stay_by_text(spark):
+    text, other = " ".join(ITEM), "nothing here at all to see"
+    rows, bench = frames(spark, [(4, text), (4, other), (4, other), (4, None), (4, ""), (None, text), (None, other), (5, "so " + text)], [(7, text)])
+    assert [r["doc_id"] for r in dc.clean(rows, bench).collect()] == [None]
+    kept = sorted(((r["doc_id"], r["text"]) for r in dc.clean(rows, bench, by_text=True).collect()), key=str)
+    assert kept == sorted([(4, other), (4, other), (4, None), (4, ""), (None, other)], key=str)
+
+
 def longs(*values):
     return tuple(x - (1 << 64) if x >> 63 else x for x in values)
 

@@ -157,13 +157,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), "best.n_words")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
     """The rows of ``docs`` whose document has no leak.
 
-    Rows that repeat a doc_id are one document; each row with a null doc_id is a document of its own, and
-    goes by its text.
+    Rows that repeat a doc_id are one document, unless ``by_text``: then every row goes by its own text.  Each
+    row with a null doc_id is a document of its own in both cases, and goes by its text.
     """
     found = leaking(docs, benchmark)
-    bad = found.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("text")).distinct()
-    own = {"id": F.col("doc_id").cast("long"), "text": F.when(F.col("doc_id").isNull(), F.xxhash64("text"))}
+    judged = F.lit(True) if by_text else F.col("doc_id").isNull()
+    bad = found.select(F.col("doc_id").alias("id"), F.when(judged, F.col("text_hash")).alias("text")).distinct()
+    own = {"id": F.col("doc_id").cast("long"), "text": F.when(judged, F.xxhash64("text"))}
     return without(docs, own, bad)
