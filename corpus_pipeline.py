@@ -56,12 +56,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold an item, or nearly, go.
+    """Benchmark decontamination: rows whose text holds an item, or nearly, go.
 
-    Rows that repeat a doc_id are one document; each row with a null doc_id is one by itself.  Null and empty texts hold
-    nothing and stay; extra columns, whatever their names, are kept; an empty table gives an empty table.
+    Every row is judged by its own text, so a clean text stays whatever other rows of its doc_id hold.  Null and empty
+    texts hold nothing and stay; extra columns, whatever their names, are kept; an empty table gives an empty table.
     """
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"), by_text=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
