@@ -58,6 +58,13 @@ def test_unique_texts_of_repeated_ids_stay(spark):
     assert sorted(map(tuple, cp.keep_unleaked(spark, docs.limit(3), SMALL).collect())) == sorted(map(tuple, docs.limit(3).collect()))
 
 
+def test_clean_rows_of_a_leaking_id_stay(spark):
+    item = max((r["text"] for r in read(spark, SMALL, "benchmark").collect()), key=len)
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (1, "quite other words than those of the item"), (1, None), (2, "")], "doc_id long, text string")
+    got = cp.keep_unleaked(spark, docs, SMALL)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, docs.collect()[1:]), key=str)
+
+
 def test_odd_rows(spark):
     docs = read(spark, SMALL, "documents")
     extra = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (None, "one two three four five six", "en", "s", 0), (-3, "same words here in this row", None, None, None), (-3, "same words here in this row", None, None, None)], docs.schema)
