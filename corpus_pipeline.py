@@ -47,7 +47,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     other = spread(linked, first, ["root"]).filter("first.doc_id <> doc_id or first.text_hash <> text_hash")
     gone = other.select("doc_id", "text_hash")
     own = {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")}
-    repeated = counted.join(gone, counted["doc_id"].eqNullSafe(gone["doc_id"]) & counted["text_hash"].eqNullSafe(gone["text_hash"]), "left_anti").filter("n > 1").select("doc_id", "text_hash")
+    repeated = counted.join(gone.hint("merge"), counted["doc_id"].eqNullSafe(gone["doc_id"]) & counted["text_hash"].eqNullSafe(gone["text_hash"]), "left_anti").filter("n > 1").select("doc_id", "text_hash")
     if repeated.isEmpty():
         return without(docs, own, gone)
     once = docs.withColumns({"_id_of_row": own["doc_id"], "_text_of_row": own["text_hash"]})

@@ -2,7 +2,7 @@ import corpus_pipeline as cp
 from conftest import SMALL
 from test_jaccard_join import plain
 
-from tidewell.llm import decontaminate, quality, toxicity
+from tidewell.llm import decontaminate, jaccard_join, quality, toxicity
 from tidewell.llm._util import read
 
 
@@ -58,6 +58,20 @@ def test_unique_texts_of_repeated_ids_stay(spark):
     assert sorted(map(tuple, cp.keep_unleaked(spark, docs.limit(3), SMALL).collect())) == sorted(map(tuple, docs.limit(3).collect()))
 
 
+def test_near_copies_are_found_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SHARED", 1)
+    base = [str(k) for k in range(60)]
+    rows = [(k, " ".join(base[: k % 50] + [f"x{k % 7}"] + base[k % 50 + 1 :])) for k in range(120)] + [(500 + k, "copies of few words") for k in range(9)] + [(7, "another text of a repeated id")] * 2
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")  # any broadcast of a row fails, whatever the planner chose
+    try:
+        got = sorted((r["doc_id"], r["text"]) for r in cp.keep_distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    distinct = sorted(set(rows))
+    assert got == sorted((d, t) for (d, t), (_, _, c) in zip(distinct, plain([(n, t) for n, (_, t) in enumerate(distinct)], 5, 80), strict=True) if distinct[c] == (d, t))
+
+
 def test_clean_rows_of_a_leaking_id_stay(spark):
     item = max((r["text"] for r in read(spark, SMALL, "benchmark").collect()), key=len)
     docs = spark.createDataFrame([(1, "before " + item + " after"), (1, "quite other words than those of the item"), (1, None), (2, "")], "doc_id long, text string")

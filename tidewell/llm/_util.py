@@ -38,9 +38,13 @@ def without(rows: DataFrame, own: dict[str, Column], gone: DataFrame) -> DataFra
 
 
 def spread(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """``rows`` joined with ``small``, which holds each key once; a hot key's rows are dealt over ``salts`` tasks."""
+    """``rows`` joined with ``small``, which holds each key once; a hot key's rows are dealt over ``salts`` tasks.
+
+    Both sides meet by a shuffle at every size: the planner does not count the copies, so by its estimate it would
+    broadcast, through the driver, ``salts`` times what it is allowed to, and more as the corpus grows.
+    """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

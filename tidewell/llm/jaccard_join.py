@@ -402,7 +402,7 @@ def meetings(busy: DataFrame, percent: int) -> DataFrame:
     # One row for each list, written, so that adaptive execution can split a hot list's askers.
     blocks = written(blocks.groupBy("grp", "shingle").agg(F.collect_list(F.struct("home", "least", "best", "low", "high")).alias("blocks")), "blocks")
     possible = f"left * {100 + percent} >= {percent} * (size + b.least) AND b.best >= {percent} * size AND (b.low <> own OR b.high <> own)"
-    met = asks.join(blocks, ["grp", "shingle"]).select("grp", "asker", F.expr(f"transform(filter(blocks, b -> {possible}), b -> b.home)").alias("homes")).filter("size(homes) > 0")
+    met = asks.join(blocks.hint("merge"), ["grp", "shingle"]).select("grp", "asker", F.expr(f"transform(filter(blocks, b -> {possible}), b -> b.home)").alias("homes")).filter("size(homes) > 0")
     met = met.groupBy("grp", "asker").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
     return written(met.select("grp", F.explode("homes").alias("block"), F.col("asker").alias("node")), "meetings")
 
@@ -416,16 +416,18 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
     alive = found.groupBy("node", "up").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).filter("hits >= need").select("node").distinct()
     alive = written(alive, "alive")
     tied = found.select("node", "center").distinct()
+    # What grows with the corpus meets by a shuffle at every size: a broadcast would go through the driver, and files
+    # and aggregates of hashes are several times larger there than the planner takes them to be.
     # A reader sends on only its run's center; what is tied to it meets other readers' nodes through the center's own ties.
-    carried = alive.unionByName(tied.join(alive, "node").select(F.col("center").alias("node"))).distinct()
-    kept = tied.join(carried, "node").filter("node <> center")
-    grouped = components(kept.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "grp").join(alive, "node")
+    carried = alive.unionByName(tied.join(alive.hint("merge"), "node").select(F.col("center").alias("node"))).distinct()
+    kept = tied.join(carried.hint("merge"), "node").filter("node <> center")
+    grouped = components(kept.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "grp").join(alive.hint("merge"), "node")
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = spread(grouped, sizes, ["grp"]).withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(4 * F.col("n") / (3 * BLOCK))).cast("long"))
     first = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.col("n")) < SHARED)
     representative = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    members = written(own.select("grp", "node", "blocks", first.alias("home"), shared.alias("shared")).join(representative, "node"), "members")
+    members = written(own.select("grp", "node", "blocks", first.alias("home"), shared.alias("shared")).join(representative.hint("merge"), "node"), "members")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -450,19 +452,19 @@ def links(docs: DataFrame, meta: DataFrame, width: int, percent: int) -> DataFra
         return edges
     # Components of the large groups so far; the nodes outside each group's largest one ask the other blocks.
     roots = components(edges).withColumnRenamed("root", "component")
-    labelled = members.filter("blocks > 1").select("grp", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.filter("blocks > 1").select("grp", "node").join(roots.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = labelled.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "main.component", F.lit(True).alias("is_main"))
     open_groups = main.select("grp")
     labelled = spread(spread(labelled, open_groups, ["grp"]), main, ["grp", "component"], "left").select("node", "component", F.col("is_main").isNull().alias("outside"))
-    busy = written(large.dropDuplicates(["node"]).join(labelled, "node"), "busy")
+    busy = written(large.dropDuplicates(["node"]).join(labelled.hint("merge"), "node"), "busy")
     if busy.isEmpty():
         return edges
     met = meetings(busy, percent)
     load = met.groupBy("grp", "block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("chunks"))
     asked = spread(met, load, ["grp", "block"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(13)), "chunks").cast("int"))
-    asked = asked.select("grp", "block", "chunk", "node", F.lit(True).alias("asks")).join(busy.select("node", "component", "bag"), "node")
-    stay = busy.withColumnRenamed("home", "block").join(load, ["grp", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = asked.select("grp", "block", "chunk", "node", F.lit(True).alias("asks")).join(busy.select("node", "component", "bag").hint("merge"), "node")
+    stay = busy.withColumnRenamed("home", "block").join(load.hint("merge"), ["grp", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = asked.unionByName(stay.select("node", "grp", "block", "chunk", F.lit(False).alias("asks"), "component", "bag"))
     dealt = rows.repartition(n, "grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "asks", "node")
     return edges.unionByName(written(dealt.transform(in_batches, across(percent), "a long, b long"), "links"))
@@ -492,7 +494,7 @@ def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     nodes = meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(docs.filter("doc_id is not null"), meta.filter("doc_id is not null"), width, percent))
     # What is alone needs no label; the rest is small beside the table, and copies of hot rows and components can be spread.
-    found = nodes.join(roots, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
+    found = nodes.join(roots.hint("merge"), "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
     found = written(found, "roots")
     label = found.groupBy("root").agg(F.min("least").alias("label"))
     by_node = spread(found, label, ["root"]).select("node", "root", "label")
